@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonelake.functions.text import clean, is_sequence, not_blank
+from clonelake.llm.bpe import count_tokens, encode_texts
 from clonelake.llm.canonical import reference_names, resolve_values
 from clonelake.llm.components import connected_components
 from clonelake.llm.frequencies import marked, term_frequencies
+from clonelake.llm.mixing import Mix, mix_sources
 from clonelake.llm.sampling import Sample, proportional_sample
+from clonelake.session import cut
 from clonelake.sources.tables import clone_records, table
 
 
@@ -61,6 +64,29 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return resolve_values(typed, "TRBV", reference_names(genes, "vgene")).select(F.col("seq_ID").alias("seq_id"), "gene")
 
 
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_texts(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def _mix(spark: SparkSession, sf: str) -> Mix:
+    weights = table(spark, sf, "mix_weights")
+    listed = table(spark, sf, "documents", "doc_id", "source", "text").join(weights.select("source"), "source", "left_semi")
+    sizes = cut(count_tokens(listed, ["doc_id", "source"], "text"))
+    return mix_sources(sizes, "doc_id", "source", "tokens", weights)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).report.filter("exhausted").select("source")
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).rows.select("doc_id", "source", "repeat", "tokens")
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).report.select("source", "weight", "own", "target", "capacity", "exhausted", "taken", F.round("share", 6).alias("share"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
@@ -69,6 +95,10 @@ QUERIES = {
     "p2_frequencies": p2_frequencies,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_mix": p9_mix,
+    "p9_report": p9_report,
 }
 
 _CLEAN = "upper(trim({}, ' ' || chr(9) || chr(160)))"
