@@ -11,6 +11,7 @@ from clonelake.llm.canonical import reference_names, resolve_values
 from clonelake.llm.components import connected_components
 from clonelake.llm.frequencies import marked, term_frequencies
 from clonelake.llm.mixing import Mix, mix_sources
+from clonelake.llm.near import near_pairs
 from clonelake.llm.sampling import Sample, proportional_sample
 from clonelake.session import cut
 from clonelake.sources.tables import clone_records, table
@@ -64,6 +65,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return resolve_values(typed, "TRBV", reference_names(genes, "vgene")).select(F.col("seq_ID").alias("seq_id"), "gene")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    clones = table(spark, sf, "cdr3_sequences", "CDR3b").select(clean("CDR3b").alias("s"))
+    return near_pairs(clones, "s").select(F.col("a").alias("cdr3_a"), F.col("b").alias("cdr3_b"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -95,6 +101,7 @@ QUERIES = {
     "p2_frequencies": p2_frequencies,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_mix": p9_mix,
@@ -108,6 +115,14 @@ v AS (SELECT t, count(*) AS n FROM pool WHERE regexp_full_match(s, '[ACDEFGHIKLM
 z AS (SELECT coalesce(sum(n), 0)::BIGINT // 5 AS size FROM v),
 r AS (SELECT TRBV AS trbv, coalesce(n, 0) AS available, round(target_share * 1000)::BIGINT * size AS goal, min_rows::BIGINT AS min_rows
       FROM trbv_targets LEFT JOIN v ON t = TRBV CROSS JOIN z)"""
+_P6 = f"""
+WITH v AS (SELECT DISTINCT {_CLEAN.format("CDR3b")} AS s FROM cdr3_sequences),
+u AS (SELECT s FROM v WHERE regexp_full_match(s, '[ACDEFGHIKLMNPQRSTVWY]+')),
+e(i, j) AS (SELECT a, b FROM range(0, 21) x(a), range(0, 21) y(b) WHERE (a = 0 AND b = 0) OR (a > 0 AND (b = 0 OR b > a))),
+k AS (SELECT DISTINCT s, CASE WHEN i = 0 THEN s WHEN j = 0 THEN s[:i - 1] || s[i + 1:] ELSE s[:i - 1] || s[i + 1:j - 1] || s[j + 1:] END AS x
+      FROM u, e WHERE greatest(i, j) <= length(s) AND (i > 0)::INT + (j > 0)::INT <= length(s) // 7)
+SELECT DISTINCT a.s AS cdr3_a, b.s AS cdr3_b FROM k a JOIN k b ON a.x = b.x AND a.s < b.s
+WHERE 7 * damerau_levenshtein(a.s, b.s) <= greatest(length(a.s), length(b.s))"""
 _P2 = f"""
 WITH c AS (SELECT DISTINCT seq_ID, TRBV, patient FROM cdr3_sequences),
 r AS (SELECT 'motif' AS field, {_CLEAN.format("motif")} AS term, run_id::VARCHAR AS record FROM all_motifs
@@ -121,6 +136,7 @@ SQL = {
     "p1_report": _P1
     + """, q AS (SELECT *, least(available, greatest((goal + 500) // 1000, min_rows)) AS quota FROM r)
 SELECT trbv, available, quota, min_rows, quota AS taken, available * 1000 < goal AS short_target, available < min_rows AS short_minimum FROM q""",
+    "p6_found": _P6,
     "p2_found": _P2 + " SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_frequencies": _P2 + " SELECT * FROM m",
     "p4_found": f"""
