@@ -13,6 +13,7 @@ from clonelake.llm.frequencies import marked, term_frequencies
 from clonelake.llm.mixing import Mix, mix_sources
 from clonelake.llm.near import near_pairs
 from clonelake.llm.sampling import Sample, proportional_sample
+from clonelake.llm.sentences import split_sentences
 from clonelake.session import cut
 from clonelake.sources.tables import clone_records, table
 
@@ -93,6 +94,10 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report.select("source", "weight", "own", "target", "capacity", "exhausted", "taken", F.round("share", 6).alias("share"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return split_sentences(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
@@ -106,6 +111,7 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_mix": p9_mix,
     "p9_report": p9_report,
+    "p10_found": p10_found,
 }
 
 _CLEAN = "upper(trim({}, ' ' || chr(9) || chr(160)))"
