@@ -151,7 +151,7 @@ def _by_length(seqs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     own = np.array(seqs, dtype=object)
     sizes = np.fromiter(map(len, seqs), dtype=np.int64, count=len(seqs))
     for size in np.unique(sizes):
-        if size >= PER_EDIT:
+        if size >= PER_EDIT - 1:
             at = np.flatnonzero(sizes == size)
             yield at, own[at]
 
@@ -252,7 +252,7 @@ def near_pairs(sequences: DataFrame, column: str) -> DataFrame:
     """a, b (a < b): distinct sequences of ``column`` with 7 * edits <= length of the longer one; direct pairs only.
 
     Only values of the twenty residues' letters take part, so nulls, empty and foreign values give nothing; repeated
-    values count once. Values shorter than seven residues have no partner.
+    values count once. Values shorter than six residues have no partner, and those of six only ones of seven.
     """
     spark = sequences.sparkSession
     tasks_in = parallelism(spark)
