@@ -4,7 +4,8 @@ Method: a global dictionary gives each distinct term an integer; terms are encod
 count arrays, for occurrences and for record presence; the arrays are summed by range of identifiers.
 
 The dictionary is built without a global sort: terms are numbered within hash buckets and a bucket's numbers start
-where the one before ends. A hot term costs a block one array cell, so no task gets all rows of a term.
+where the one before ends. Records fall into blocks by their hash; a hot term is one row per block when it meets the
+dictionary and one array cell after that, so no task gets all rows of a term.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.window import Window
 
 #: Identifiers per count array.
 WIDTH = 4096
+#: Blocks of records.
+BLOCKS = 64
 
 
 def dictionary(terms: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
@@ -69,8 +72,11 @@ def term_frequencies(rows: DataFrame) -> DataFrame:
     """
     pairs = rows.select("field", "term", "record").filter("term is not null").groupBy("field", "term", "record").agg(F.count("*").alias("n"))
     words = dictionary(pairs, ["field", "term"])
+    # at most BLOCKS rows per term, however many records hold it, before the terms meet the dictionary
+    block = F.pmod(F.xxhash64("record"), F.lit(BLOCKS)).alias("block")
+    blocks = pairs.groupBy("field", "term", block).agg(F.sum("n").alias("n"), F.count("record").alias("present"))
     arrays = "range bigint, occurrences array<bigint>, presences array<bigint>"
-    encoded = pairs.join(words, ["field", "term"]).select("id", "n", F.col("record").isNotNull().cast("long").alias("present"))
+    encoded = blocks.join(words, ["field", "term"]).select("id", "n", "present")
     summed = encoded.mapInArrow(_block_arrays, arrays).repartition("range").mapInArrow(_sum_arrays, arrays)
     counts = summed.select("range", F.posexplode(F.arrays_zip("occurrences", "presences")).alias("at", "c")).select(
         (F.col("range") * WIDTH + F.col("at")).alias("id"), F.col("c.occurrences").alias("occurrences"), F.col("c.presences").alias("records")

@@ -61,9 +61,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     genes = table(spark, sf, "vgene_frequencies", "vgene")
+    names = reference_names(genes, "vgene")  # checks the size of the list, so it may be broadcast
     typed = clone_records(spark, sf, "TRBV").filter(not_blank("TRBV"))
-    typed = typed.join(genes.select(F.col("vgene").alias("TRBV")), "TRBV", "left_anti")
-    return resolve_values(typed, "TRBV", reference_names(genes, "vgene")).select(F.col("seq_ID").alias("seq_id"), "gene")
+    typed = typed.join(F.broadcast(genes.select(F.col("vgene").alias("TRBV"))), "TRBV", "left_anti")
+    return resolve_values(typed, "TRBV", names).select(F.col("seq_ID").alias("seq_id"), "gene")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
