@@ -14,6 +14,7 @@ words that pass the test for abbreviations reach the tasks.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +43,8 @@ NUMBERED = frozenset("n p s seite page art".split())
 #: Pairs of quotation marks; the straight ones open behind white space.
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "‘": "’", "《": "》"}
 CLOSERS = "\"'”’»›」』)]}）】》〉"
-LOOKS = str.maketrans("аеорсхуАВЕКМНОРСТХіј", "aeopcxyABEKMHOPCTXij")
+#: Characters that are misread for Latin letters.
+LOOKS = str.maketrans("аеорсхуАВЕКМНОРСТХіјгтопս015†|", "aeopcxyABEKMHOPCTXijrtonuols" + "tl")
 
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 #: Stops; a point right before a digit, a small letter or the like is none.
@@ -183,6 +185,24 @@ class Segmenter:
         m = _HEAD.match(text, k, b)
         return m[0] if m else text[k : k + 1]
 
+    def _telling(self, text: str, k: int, b: int, names: bool) -> str:
+        """The next word that tells how the text goes on: not one of a script without case, and with ``names`` no name.
+
+        A name is a word with a capital that the document writes within sentences, too, and never without it.
+        """
+        word = ""
+        for _ in range(3):
+            while k < b and text[k].isspace():
+                k += 1
+            m = _HEAD.match(text, k, b)
+            word = m[0] if m else text[k : k + 1]
+            foreign = word and (_cjk(word[0]) or "ぁ" <= word[0] <= "ヿ")
+            name = names and word[:1].isupper() and len(word) > 1 and not self._common(text, word) and re.search(rf"[a-z,] {re.escape(word)}\b", text) is not None
+            if not foreign and not name:
+                return word
+            k += len(word)
+        return word
+
     @staticmethod
     def _small(word: str) -> bool:
         """A word in lower case throughout; pH is none."""
@@ -202,13 +222,13 @@ class Segmenter:
         first = text[opening + 1 : i].lstrip()[:1]
         if c in ",;:，；：、.。)）" or c in "-–—":
             return False
+        if first.islower() and text[i] == ".":
+            return True  # the point can only be the outer sentence's
         if _cjk(c) or "ぁ" <= c <= "ヿ":
             if "ぁ" <= c <= "ゟ":  # particles
                 return False
             before = text[:opening].rstrip()[-1:] if opening else ""
             return before in ":：" or text[close] in "」』"
-        if first.islower() and text[i] == ".":
-            return True  # the point can only be the outer sentence's
         if self._small(word):
             return False
         if c.isalpha() and not c.isupper() and not c.islower():  # scripts without case
@@ -236,12 +256,17 @@ class Segmenter:
                 return False
             return gap or c.isalpha() or c in "¿¡(\"'“„«"
         if len(mark) > 1 or mark == "…":  # an ellipsis
+            if gap and i and text[i - 1].isspace() and text[start].isascii():
+                word = self._telling(text, end, b, True)
+                c = word[:1]
             return not self._small(word) and c not in ",;:" and (gap or c.isupper())
         # a single point
         if end == j and self._open_bracket(text, start, i, b):
             return False
         if end > j and self._small(word) and text[start] not in "([（\"'":
-            return False
+            opened = text.rfind("(", start, i)  # a whole sentence in brackets ends with them
+            if opened < 0 or not text[opened + 1].isupper() or text.count(" ", opened, i) < 3:
+                return False
         token_at = i
         while token_at > start and not text[token_at - 1].isspace():
             token_at -= 1
@@ -256,6 +281,8 @@ class Segmenter:
                 return _cjk(c) or "ぁ" <= c <= "ヿ"
             if end > j:
                 return c.isupper() or c in "([\"“„«¿¡"
+            if c.isupper() and len(word) == 1 and len(token.rpartition(".")[2]) > 1 and re.match(r"\.\s+[A-Z]", text[end + 1 : end + 4]):
+                return True  # an initial begins the next sentence
             if not (c.isupper() and len(word) > 1 and word[1:2].islower() or c in "¿¡" or (c.isupper() and len(word) == 1 and text[end + 1 : end + 2] == " ")):
                 return c == "(" and len(token) > 1
             last = token.rpartition(".")[2]
@@ -266,10 +293,15 @@ class Segmenter:
         if kind in ("on", "learned"):
             return False
         if kind == "may":
+            if gap and c and not c.isascii():
+                word = self._telling(text, end, b, False)
+                c = word[:1]
             if c.isalpha() and not self._small(word):
-                return not (token.lower() in ("u.s", "u.k") and word in ("Pat", "Patent", "Pub", "Ser", "Appl"))
+                return not (token.lower() in ("u.s", "u.k") and word.translate(LOOKS) in ("Pat", "Patent", "Pub", "Ser", "Appl"))
             return not c.isalpha() and c not in "-–—&%"
         if kind == "unit":
+            word = self._telling(text, end, b, True)
+            c = word[:1]
             return c.isupper() or not c.isalnum() and c not in "-–—&%" or word != word.lower()
         low = token.lower()
         if low in NUMBERED and (c.isdigit() or word in ("ex", "ej", "B", "h")):
@@ -298,6 +330,8 @@ class Segmenter:
         if last and not last[-1].isalnum() and last[-1] not in ".,;:)]\"'”»":
             return True  # an operator before it: the end of a formula
         if token.isupper():
+            if len(word) == 1 and c.isupper() and re.match(rf"\s*{word}\.", text[token_at + len(token) + 1 :][:4]):
+                return False  # initials in a row
             if not c.isupper():
                 return not c.isalpha() and not c.isdigit()
             return self._common(text, word)
@@ -305,8 +339,9 @@ class Segmenter:
 
     def _abbreviation(self, token: str) -> str:
         low = token.lower()
-        if not low.isascii() and any(c.isascii() and c.isalpha() for c in low):
-            low = token.translate(LOOKS).lower()
+        if low not in GOES_ON and any("a" <= c <= "z" for c in low) and not low.isalpha() or not low.isascii():
+            if any("a" <= c <= "z" for c in low) and not low[0].isdigit():
+                low = "".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c)).translate(LOOKS).lower() if low not in GOES_ON else low
         if low in CLOSES:
             return "end"
         if low in GOES_ON:
