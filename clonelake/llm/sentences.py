@@ -293,8 +293,9 @@ class Segmenter:
         if kind in ("on", "learned"):
             return False
         if kind == "may":
-            if gap and c and not c.isascii():
-                word = self._telling(text, end, b, False)
+            often = token.lower() in ("al", "a.m", "p.m")  # more often within a sentence than at its end
+            if gap and c and (often or not c.isascii()):
+                word = self._telling(text, end, b, often)
                 c = word[:1]
             if c.isalpha() and not self._small(word):
                 return not (token.lower() in ("u.s", "u.k") and word.translate(LOOKS) in ("Pat", "Patent", "Pub", "Ser", "Appl"))
