@@ -57,8 +57,9 @@ _TAIL = re.compile(r"(?:[ \xa0 ]?»|[\"'”’›」』)\]}）】》〉“])+")
 _QUOTES = re.compile(r"[\"“„«「『‘《]|(?<![^\s(\[（])'(?=\w)")
 _LOWER = re.compile(r"(?<![\w'’-])[^\W\d_A-Z][^\W\d_]*")
 _ITEM = re.compile(r"[\[【(（]?\s*(?:\d{1,5}|[ivxIVX]{1,5}|[A-Za-z])\s*[\])】）]?\.?")
-_POINTED = re.compile(r"(?<![^\W_])([^\W\d_]{1,8})\.\s+(\S)")
-_WORD = re.compile(r"(?<![^\W_])[^\W\d_]{1,8}(?![^\W_]|\.)")
+_POINT = re.compile(r"\.\s+")
+_LAST = re.compile(r"(?<![^\W_])[^\W\d_]{1,8}$")
+_BARE = re.compile(r"[(\[\"'“„«‘]*([^\W\d_]{1,8})[,;:!?)\]\"'”“»’]*")
 
 
 def _cjk(c: str) -> bool:
@@ -95,6 +96,8 @@ class Segmenter:
 
     def __init__(self, abbreviations: frozenset[str] = frozenset()):
         self.learned = abbreviations - MAY_END - CLOSES - UNITS - NUMBERED
+        self.known = self.learned | GOES_ON | MAY_END | UNITS | NUMBERED
+        self.on = frozenset(y for x in GOES_ON if len(x) > 1 for y in (x, x.capitalize(), x.upper()))
         self.tails = frozenset(x[-5:] for x in self.learned | GOES_ON | MAY_END if len(x) > 4)
 
     def sentences(self, text: str | None) -> list[tuple[int, int]]:
@@ -125,7 +128,6 @@ class Segmenter:
         a = first.start()
         ends = []
         quotes = None if self._quoted else []
-        plain = "(" not in text[a:b] and "（" not in text[a:b]
         start = a
         skip = a
         for m in _STOP.finditer(text, a, b):
@@ -135,16 +137,37 @@ class Segmenter:
             mark = m[0]
             after = text[j] if j < b else ""
             if mark == ".":
-                if after == " ":  # most points: a long word before, a capital behind, no quotation or bracket around
-                    if plain and not quotes and text[j + 1 : j + 2].isupper() and (word := text[i - 5 : i]).isalpha() and word.islower() and word not in self.tails:
+                if after == " " or after == "\n":  # most points: a known abbreviation, or a plain word and a capital behind
+                    space = max(text.rfind(" ", start, i), text.rfind("\n", start, i))
+                    token = text[space + 1 if space >= 0 else start : i]
+                    if token in self.on:
+                        continue
+                    if (
+                        len(token) > 1
+                        and text[j + 1 : j + 2].isupper()
+                        and token.isalpha()
+                        and token.islower()
+                        and token not in self.known
+                        and (token.isascii() or len(token) > 4 and token[-5:] not in self.tails)
+                        and text.find("(", start, i) < 0
+                        and text.find("（", start, i) < 0
+                    ):
                         if quotes is None:
                             quotes = _spans(text, a, b)
-                        if not quotes:
+                        if not quotes or not any(q[0] < i < q[1] for q in quotes):
                             ends.append(j)
                             start = skip = j + 1
                             continue
                 elif after and (after.isdigit() or after.islower()):
                     continue
+            elif mark == "。" and after and after not in "，、；：,;:)）" and after not in CLOSERS and after not in "“ \xa0 " and text.find("(", start, i) < 0 and text.find("（", start, i) < 0:
+                if quotes is None:
+                    quotes = _spans(text, a, b)
+                if not quotes or not any(q[0] < i < q[1] for q in quotes):
+                    ends.append(j)
+                    start = _SOLID.search(text, j, b).start()
+                    skip = j
+                    continue
             if quotes is None:
                 quotes = _spans(text, a, b)
             inside = next((q for q in quotes if q[0] < i < q[1]), None) if quotes else None
@@ -384,19 +407,23 @@ def abbreviations(texts: DataFrame, text: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain: Counter[str] = Counter()
-        pointed: Counter[tuple[str, bool]] = Counter()
+        on: Counter[str] = Counter()
+        up: Counter[str] = Counter()
         for batch in batches:
+            raw: Counter[str] = Counter()
             for x in batch.column(0).to_pylist():
                 if x:
-                    found = _POINTED.findall(x)
-                    pointed.update((w.lower(), c.islower() or c.isdigit() or c in ",;") for w, c in found)
-                    plain.update(_WORD.findall(x))
-        low: Counter[str] = Counter()
-        for w, n in plain.items():
-            low[w.lower()] += n
-        words = {w for w, _ in pointed} | set(low)
-        rows = [(w, low[w], pointed[w, True], pointed[w, False]) for w in words]
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([], [], [], []), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["word", "plain", "on", "up"])
+                    raw.update(x.split())
+                    pieces = _POINT.split(x)
+                    for before, behind in zip(pieces, pieces[1:]):  # noqa: B905
+                        if behind and (m := _LAST.search(before[-9:])):
+                            c = behind[0]
+                            (on if c.islower() or c.isdigit() or c in ",;" else up)[m[0].lower()] += 1
+            for token, n in raw.items():
+                if not token.endswith(".") and (m := _BARE.fullmatch(token)):
+                    plain[m[1].lower()] += n
+        words = sorted(set(plain) | set(on) | set(up))
+        yield pa.record_batch([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in (plain, on, up)]], names=["word", "plain", "on", "up"])
 
     counts = texts.select(text).mapInArrow(count, "word string, plain bigint, on bigint, up bigint")
     sums = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("plain", "on", "up")])
