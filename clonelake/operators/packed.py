@@ -16,6 +16,8 @@ DELIMITERS = ",;|/&+，；、"
 BRACKETS = ("()", "[]", "{}")
 #: Separates reassembled pieces; U+FDD0 is no character, so no text holds it.
 MARK = "﷐"
+#: White space, also that of other widths, as the inside of a character class.
+SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def packed_values(field: Column, delimiters: str = DELIMITERS) -> Column:
@@ -24,11 +26,11 @@ def packed_values(field: Column, delimiters: str = DELIMITERS) -> Column:
     A text in double quotes is one value, a doubled quote in it stands for one; an unclosed quote runs to the end of
     the field. Empty places, also an empty pair of quotes, are no values. Repeated values are kept.
     """
-    body = F.regexp_replace(field, r"\A[\s ]+|[\s ]+\z", "")
+    body = F.regexp_replace(field, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
     inside = F.substring(body, F.lit(2), F.greatest(F.length(body) - 2, F.lit(0)))
     pairs = [(F.substring(body, 1, 1) == a) & (F.substring(body, -1, 1) == b) for a, b in BRACKETS]
     body = F.when((F.length(body) > 1) & (pairs[0] | pairs[1] | pairs[2]), inside).otherwise(body)
-    cut = "[" + "".join("\\" + c if c.isascii() else c for c in delimiters) + r"\s ]+"
+    cut = "[" + "".join("\\" + c if c.isascii() else c for c in delimiters) + SPACE + "]+"
 
     def bare(text: Column) -> Column:
         return F.filter(F.split(text, cut), lambda v: v != "")

@@ -34,7 +34,7 @@ def by_hand(field):
     return [x for x in [*out, now] if x]
 
 
-CASES = [None, "", "  ", "A*01:02", 'A*01:02,"B*02 ""low""" ; ,C*1', "(A+B\tC)", '["A, B" C]', '"a""b"', '"(x)"', ",,;", 'A "B|C"；D、E，F', "A\nB", '"open, to the end', "A\xa0B", '""', "{A}"]
+CASES = [None, "", "  ", "A*01:02", 'A*01:02,"B*02 ""low""" ; ,C*1', "(A+B\tC)", '["A, B" C]', '"a""b"', '"(x)"', ",,;", 'A "B|C"；D、E，F', "A\nB", '"open, to the end', "A\xa0B", "\u3000A\u3000B\u2009", '""', "{A}"]
 
 
 def test_fields(spark):
