@@ -40,12 +40,12 @@ def hamming_pairs(seqs: DataFrame, most: int = 1, vgenes: DataFrame | None = Non
             for b in range(parts)
         ]
         keyed = base.select("CDR3b", "mr", F.array(*blocks).alias("keys"))
-    rows = keyed.select("CDR3b", "mr", F.explode("keys").alias("key"))
+    # keys are hashed, which makes rows and sorts small; pairs are verified below, so a collision does no harm
+    rows = keyed.select("CDR3b", "mr", F.explode(F.transform("keys", lambda k: F.xxhash64(k))).alias("key"))
     left, right = rows.withColumnsRenamed({"CDR3b": "v1", "mr": "m1"}), rows.withColumnsRenamed({"CDR3b": "v2", "mr": "m2"})
     pairs = left.join(right, "key").filter("v1 < v2")
-    if most > 2:
-        differ = F.aggregate(F.sequence(F.lit(1), F.length("m1")), F.lit(0), lambda a, i: a + F.when(F.substring(F.col("m1"), i, F.lit(1)) != F.substring(F.col("m2"), i, F.lit(1)), 1).otherwise(0))
-        pairs = pairs.filter((F.length("m1") == F.length("m2")) & (differ <= most))
+    differ = F.aggregate(F.sequence(F.lit(1), F.length("m1")), F.lit(0), lambda a, i: a + F.when(F.substring(F.col("m1"), i, F.lit(1)) != F.substring(F.col("m2"), i, F.lit(1)), 1).otherwise(0))
+    pairs = pairs.filter((F.length("m1") == F.length("m2")) & (differ <= most))
     pairs = pairs.select("v1", "v2").distinct()
     if vgenes is not None:
         sets = vgenes.filter("TRBV is not null").groupBy("CDR3b").agg(F.collect_set("TRBV").alias("g"))
