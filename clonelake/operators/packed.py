@@ -16,8 +16,9 @@ DELIMITERS = ",;|/&+，；、"
 BRACKETS = ("()", "[]", "{}")
 #: Separates reassembled pieces; U+FDD0 is no character, so no text holds it.
 MARK = "﷐"
-#: White space between values, as the inside of a character class; each further character costs Java's matcher time.
-SPACE = r"\s\xA0"
+#: White space of ASCII and of other widths (Unicode's White_Space).
+ASCII_SPACE = " \t\n\x0b\f\r"
+WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def packed_values(field: Column, delimiters: str = DELIMITERS) -> Column:
@@ -26,14 +27,17 @@ def packed_values(field: Column, delimiters: str = DELIMITERS) -> Column:
     A text in double quotes is one value, a doubled quote in it stands for one; an unclosed quote runs to the end of
     the field. Empty places, also an empty pair of quotes, are no values. Repeated values are kept.
     """
-    body = F.regexp_replace(field, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    body = F.btrim(field, F.lit(ASCII_SPACE + WIDE_SPACE))
     inside = F.substring(body, F.lit(2), F.greatest(F.length(body) - 2, F.lit(0)))
     pairs = [(F.substring(body, 1, 1) == a) & (F.substring(body, -1, 1) == b) for a, b in BRACKETS]
     body = F.when((F.length(body) > 1) & (pairs[0] | pairs[1] | pairs[2]), inside).otherwise(body)
-    cut = "[" + "".join("\\" + c if c.isascii() else c for c in delimiters) + SPACE + "]+"
+    # each further character of a class costs Java's matcher time, so text of one byte a character gets the short class
+    short = "[" + "".join("\\" + c for c in delimiters if c.isascii()) + r"\s]+"
+    wide = short[:-2] + "".join(c for c in delimiters if not c.isascii()) + WIDE_SPACE + "]+"
 
     def bare(text: Column) -> Column:
-        return F.filter(F.split(text, cut), lambda v: v != "")
+        cut = F.when(F.octet_length(text) == F.length(text), F.regexp_replace(text, short, MARK)).otherwise(F.regexp_replace(text, wide, MARK))
+        return F.filter(F.split(cut, MARK), lambda v: v != "")
 
     pieces = F.split(body, '"', -1)
     last = F.size(pieces) - 1

@@ -34,7 +34,7 @@ def by_hand(field):
     return [x for x in [*out, now] if x]
 
 
-CASES = [None, "", "  ", "A*01:02", 'A*01:02,"B*02 ""low""" ; ,C*1', "(A+B\tC)", '["A, B" C]', '"a""b"', '"(x)"', ",,;", 'A "B|C"；D、E，F', "A\nB", '"open, to the end', "A\xa0B", '""', "{A}"]
+CASES = [None, "", "  ", "A*01:02", 'A*01:02,"B*02 ""low""" ; ,C*1', "(A+B\tC)", '["A, B" C]', '"a""b"', '"(x)"', ",,;", 'A "B|C"；D、E，F', "A\nB", '"open, to the end', "A\xa0B", "\u3000A\u3000B\u2009", '""', "{A}"]
 
 
 def test_fields(spark):
@@ -46,6 +46,16 @@ def test_fields(spark):
     assert got == {i: v for i, x in enumerate(CASES) if (v := by_hand(x))}
 
 
+def test_white_space_of_any_width(spark):
+    wide = [chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+    fields = [x for s in wide for x in (f"A*01:02{s}B*02:01", f"{s}[A{s}B；C]{s}", f'A{s}"x{s}y"{s}，B')]
+    df = spark.createDataFrame(list(enumerate(fields)), "id int, f string")
+    got = {}
+    for r in explode_packed(df, "f", ["id"]).orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(r.val)
+    assert [got.get(i, []) for i in range(len(fields))] == [by_hand(x) for x in fields]
+
+
 def test_random_fields(spark):
     rnd = random.Random(3)
     values = lambda: "".join(rnd.choice("AB*:") for _ in range(rnd.randint(1, 4)))
