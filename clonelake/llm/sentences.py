@@ -2,7 +2,9 @@
 
 Method: document-centred disambiguation. Where a point may or may not end a sentence, unambiguous occurrences elsewhere
 in the document tell: a word that the document also writes in lower case is a common word, so its capital marks a new
-sentence; a word it never does is a name, so an initial before it ends nothing. What the document leaves open, the
+sentence; a word it never does is a name, so an initial before it ends nothing. A word that goes on after its point
+somewhere in the document and never stands there without one is an abbreviation, which ends a sentence only before a common
+word; one that the corpus takes for an abbreviation but that here stands without a point, and never goes on, is none. What the document leaves open, the
 corpus decides: words that nearly always bear a point and mostly go on after it are abbreviations, counted over all
 documents. Fixed lists hold what is known of common abbreviations; terminators follow the script: full-width stops end
 sentences without a space, the danda ends Hindi ones, and in Thai a space between two Thai letters does.
@@ -58,6 +60,8 @@ _QUOTES = re.compile(r"[\"“„«「『‘《]|(?<![^\s(\[（])'(?=\w)")
 _LOWER = re.compile(r"(?<![\w'’-])[^\W\d_A-Z][^\W\d_]*")
 _ITEM = re.compile(r"[\[【(（]?\s*(?:\d{1,5}|[ivxIVX]{1,5}|[A-Za-z])\s*[\])】）]?\.?")
 _POINT = re.compile(r"\.\s+")
+#: A point after which a text may go on, within a paragraph; what heads an item does not show it.
+_GOES = re.compile(r"\.(?:(?:[^\S\n]+\n?|\n)[^\S\n]*(?=[^\W_A-Z])(?!\d+[.)、．])|\s?(?=[,;]))")
 _LAST = re.compile(r"(?<![^\W_])[^\W\d_]{1,8}$")
 _BARE = re.compile(r"[(\[\"'“„«‘]*([^\W\d_]{1,8})[,;:!?)\]\"'”“»’]*")
 
@@ -92,10 +96,12 @@ def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
 
 
 class Segmenter:
-    """Splits texts; ``abbreviations``: further ones that the corpus shows."""
+    """Splits texts; ``abbreviations``: further ones that the corpus shows; ``ordinary``: words that it shows to be none."""
 
-    def __init__(self, abbreviations: frozenset[str] = frozenset()):
+    def __init__(self, abbreviations: frozenset[str] = frozenset(), ordinary: frozenset[str] = frozenset()):
+        self.ordinary = ordinary
         self.learned = abbreviations - MAY_END - CLOSES - UNITS - NUMBERED
+        self.listed = GOES_ON | MAY_END | UNITS | NUMBERED | CLOSES
         self.known = self.learned | GOES_ON | MAY_END | UNITS | NUMBERED
         self.on = frozenset(y for x in GOES_ON if len(x) > 1 for y in (x, x.capitalize(), x.upper()))
         self.tails = frozenset(x[-5:] for x in self.learned | GOES_ON | MAY_END if len(x) > 4)
@@ -106,6 +112,7 @@ class Segmenter:
             return []
         out: list[tuple[int, int]] = []
         self._known: set[str] | None = None
+        self._on: set[str] | None = None
         self._thai = _IN_THAI.search(text) is not None
         self._quoted = _QUOTES.search(text) is not None
         at = 0
@@ -121,6 +128,52 @@ class Segmenter:
             self._known = set(_LOWER.findall(text))
         return word.lower() in self._known
 
+    def _shown(self, text: str) -> set[str]:
+        """Words of two to eight letters, in lower case, that the document itself shows to be abbreviations.
+
+        They never stand without a point and go on after it: before a comma or semicolon, or before a small word or a
+        number. As a sentence may begin with a stray small word or a number, the latter must be more than half of the
+        word's points, and three, where the corpus has the word as an ordinary one.
+        """
+        if self._on is None:
+            on: Counter[str] = Counter()
+            sure = set()
+            self._went: set[str] = set()
+            self._low = ""
+            for m in _GOES.finditer(text):
+                i, k = m.start(), m.end()
+                if not (w := _LAST.search(text, max(0, i - 8), i)) or len(w[0]) == 1 or w.start() and unicodedata.category(text[w.start() - 1])[0] == "M":
+                    continue
+                word, c = w[0].lower(), text[k]
+                if c in ",;":
+                    sure.add(word)
+                elif self._small(_HEAD.match(text, k)[0]):
+                    on[word] += 1
+                elif not c.isdigit():
+                    continue
+                self._went.add(word)
+            self._on = set()
+            for w in self._went - self.listed:
+                bare, pointed = self._uses(text, w)
+                if not bare and (w in sure or w not in self.ordinary or on[w] > 2 and on[w] * 2 > pointed):
+                    self._on.add(w)
+        return self._on
+
+    def _uses(self, text: str, word: str) -> tuple[int, int]:
+        """How often the document has the word, given in lower case, without a point and with one."""
+        low = self._low = self._low or text.lower()
+        bare = pointed = 0
+        k = low.find(word)
+        while k >= 0:
+            e = k + len(word)
+            if not low[e : e + 1].isalnum() and not (k and low[k - 1].isalnum()):
+                if low[e : e + 1] == ".":
+                    pointed += 1
+                else:
+                    bare += 1
+            k = low.find(word, e)
+        return bare, pointed
+
     def _paragraph(self, text: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
         b = a + len(text[a:b].rstrip())
         if (first := _SOLID.search(text, a, b)) is None:
@@ -148,6 +201,7 @@ class Segmenter:
                         and token.isalpha()
                         and token.islower()
                         and token not in self.known
+                        and token not in self._shown(text)
                         and (token.isascii() or len(token) > 4 and token[-5:] not in self.tails)
                         and text.find("(", start, i) < 0
                         and text.find("（", start, i) < 0
@@ -309,12 +363,17 @@ class Segmenter:
             if not (c.isupper() and len(word) > 1 and word[1:2].islower() or c in "¿¡" or (c.isupper() and len(word) == 1 and text[end + 1 : end + 2] == " ")):
                 return c == "(" and len(token) > 1
             last = token.rpartition(".")[2]
-            return (len(last) > 1 or not last.isalpha()) and self._abbreviation(token) not in ("on", "list") or self._abbreviation(token) == "end"
-        kind = self._abbreviation(token)
+            kind = self._abbreviation(text, token)
+            if kind == "shown":
+                return self._common(text, word)
+            return (len(last) > 1 or not last.isalpha()) and kind not in ("on", "list") or kind == "end"
+        kind = self._abbreviation(text, token)
         if kind == "end":
             return True
         if kind in ("on", "learned"):
             return False
+        if kind == "shown":
+            return c.isupper() and self._common(text, word)
         if kind == "may":
             often = token.lower() in ("al", "a.m", "p.m")  # more often within a sentence than at its end
             if gap and c and (often or not c.isascii()):
@@ -361,11 +420,14 @@ class Segmenter:
             return self._common(text, word)
         return not (self._small(word) and low in ("г", "с", "v", "n"))
 
-    def _abbreviation(self, token: str) -> str:
+    def _abbreviation(self, text: str, token: str) -> str:
+        """What the document, the lists or the corpus say of the word; a list's word is known, so they say how it goes on."""
         low = token.lower()
         if low not in GOES_ON and any("a" <= c <= "z" for c in low) and not low.isalpha() or not low.isascii():
             if any("a" <= c <= "z" for c in low) and not low[0].isdigit():
                 low = "".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c)).translate(LOOKS).lower() if low not in GOES_ON else low
+        if low in self._shown(text) or token.lower() in self._shown(text):
+            return "shown"
         if low in CLOSES:
             return "end"
         if low in GOES_ON:
@@ -376,7 +438,7 @@ class Segmenter:
             return "unit"
         if "." in low and re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", low):
             return "may" if low in MAY_END else "on"
-        if "-" not in low and low in self.learned:
+        if "-" not in low and low in self.learned and (low in self._went or not self._uses(text, low)[0]):
             return "learned"
         return ""
 
@@ -399,10 +461,11 @@ class Segmenter:
 
 
 def abbreviations(texts: DataFrame, text: str) -> DataFrame:
-    """word: what the whole corpus shows to be an abbreviation after which sentences go on.
+    """word, learned: what the whole corpus shows to be an abbreviation after which sentences go on, or else an ordinary word.
 
-    A word passes if nine of ten of its occurrences have a point and half of those (with three more counted against
-    it, so that chance doesn't decide on rare words) go on in lower case, with a number or a comma. Words of up to eight letters.
+    A word is learned if nine of ten of its occurrences have a point and half of those (with three more counted against
+    it, so that chance doesn't decide on rare words) go on in lower case, with a number or a comma. One that goes on somewhere is
+    ordinary if less than nine of ten have a point, or less than one in five of those goes on. Words of up to eight letters.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,11 +491,16 @@ def abbreviations(texts: DataFrame, text: str) -> DataFrame:
     counts = texts.select(text).mapInArrow(count, "word string, plain bigint, on bigint, up bigint")
     sums = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("plain", "on", "up")])
     pointed = F.col("on") + F.col("up")
-    return sums.filter((pointed * 10 >= (pointed + F.col("plain")) * 9) & (F.col("on") * 2 >= pointed + 3)).select("word")
+    mostly = pointed * 10 >= (pointed + F.col("plain")) * 9
+    learned = mostly & (F.col("on") * 2 >= pointed + 3)
+    ordinary = (F.col("on") > 0) & (~mostly | (F.col("up") > F.col("on") * 4))
+    return sums.filter(learned | ordinary).select("word", learned.alias("learned"))
 
 
 #: More learned abbreviations than this are an error: no language has as many.
 MOST = 200_000
+#: The same for ordinary words, of which the texts' languages have more.
+MOST_ORDINARY = 1_000_000
 
 
 def split_sentences(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -440,13 +508,13 @@ def split_sentences(documents: DataFrame, key: str, text: str) -> DataFrame:
 
     A blank line always ends a sentence; sentences cover all but white space; null, empty and blank texts have none.
     """
-    learned = abbreviations(documents, f"`{text}`").limit(MOST + 1).collect()
-    if len(learned) > MOST:
-        raise ValueError(f"more than {MOST} abbreviations")
-    words = frozenset(r.word for r in learned)
+    told = abbreviations(documents, f"`{text}`").limit(MOST + MOST_ORDINARY + 1).collect()
+    words, ordinary = (frozenset(r.word for r in told if r.learned == x) for x in (True, False))
+    if len(words) > MOST or len(ordinary) > MOST_ORDINARY:
+        raise ValueError(f"more than {MOST} abbreviations or {MOST_ORDINARY} ordinary words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(words)
+        segmenter = Segmenter(words, ordinary)
         for batch in batches:
             found = [segmenter.sentences(x) for x in batch.column(1).to_pylist()]
             flat = np.array([x for f in found for x in f], dtype=np.int32).reshape(-1, 2)

@@ -318,6 +318,34 @@ def test_sentences(spark):
     assert split_sentences(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_abbreviations_of_one_document(spark):
+    shown = "Der Zyl. ist lang. Er hat einen Zyl. Brinnow nach innen. Am Zyl. Quillor liegt er."
+    text = "The qual. level is low. A qual. Brinnow test follows. It has a qual. The level is low in the bath."
+    plain = "It has a level. Brinnow came. The level is low. The level. it fell."
+    spaceless = "See the mech.,and so on. See the mech. Quillor part."
+    cases = [
+        (shown, ["Der Zyl. ist lang.", "Er hat einen Zyl. Brinnow nach innen.", "Am Zyl. Quillor liegt er."]),
+        (text, ["The qual. level is low.", "A qual. Brinnow test follows.", "It has a qual.", "The level is low in the bath."]),
+        (plain, ["It has a level.", "Brinnow came.", "The level is low.", "The level. it fell."]),
+        (spaceless, ["See the mech.,and so on.", "See the mech. Quillor part."]),
+        ("A qual. Brinnow test follows.", ["A qual.", "Brinnow test follows."]),
+    ]
+    for x, want in cases[:2] + cases[3:]:
+        assert [x[a:b] for a, b in Segmenter().sentences(x)] == want
+    got = defaultdict(list)
+    for r in split_sentences(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string"), "doc_id", "text").orderBy("doc_id", "start_pos").collect():
+        got[r.doc_id].append(cases[r.doc_id][0][r.start_pos : r.end_pos])
+    assert [got[i] for i in (0, 1, 3, 4)] == [cases[i][1] for i in (0, 1, 3, 4)]
+    assert "It has a level." in got[2]
+    # the document overrules the corpus: an abbreviation elsewhere is a plain word here, and an ordinary word an abbreviation
+    own = "Its narr is wide. It is a narr. Brinnow came."
+    assert [own[a:b] for a, b in Segmenter(frozenset(["narr"])).sentences(own)] == ["Its narr is wide.", "It is a narr.", "Brinnow came."]
+    often = "The stat. is on. The stat. runs. The stat. goes. The stat. Brinnow stands."
+    assert len(Segmenter(frozenset(), frozenset(["stat"])).sentences(often)) == 4
+    once = "The unit. pH falls. The unit. mithin it falls. The unit. Brinnow came."
+    assert len(Segmenter(frozenset(), frozenset(["unit"])).sentences(once)) == 6
+
+
 def test_sentences_cover_all_but_white_space():
     rnd = random.Random(5)
     own = Segmenter()
