@@ -94,6 +94,10 @@ def subsample_srswor(spark, sf):
     return resampling.subsample(_sample(spark, sf), "CDR3b", SIMS, 200).select("sim", F.col("CDR3b").alias("cdr3b"))
 
 
+def subsample_srswor_full(spark, sf):
+    return resampling.subsample(_sample(spark, sf), "CDR3b", SIMS, _known(spark, sf).count()).select("sim", F.col("CDR3b").alias("cdr3b"))
+
+
 def _strata(spark, sf, names):
     def add(df, rows):
         df = df.withColumn("len", F.length("CDR3b"))
@@ -133,6 +137,28 @@ def local_rrs_selected(spark, sf):
     return _rounded(motifs.select_motifs(resampling.local_resampling(_known(spark, sf), _draws(spark, sf), SIMS), {2: 2.0, 3: 3.0, 4: 4.0}, 0.21, 3, strict=True), avg_ref=6, ove=9, p=6)
 
 
+def _draws_full(spark, sf):
+    """As many sequences as the compared ones are, as a run draws them."""
+    sample = _sample(spark, sf)
+    return resampling.subsample(sample, "CDR3b", SIMS, _known(spark, sf).count()).join(sample, "CDR3b").select("sim", "mr")
+
+
+def _rrs_full(spark, sf):
+    return resampling.local_resampling(_known(spark, sf), _draws_full(spark, sf), SIMS)
+
+
+def local_rrs_full(spark, sf):
+    return _rounded(_rrs_full(spark, sf), avg_ref=6, ove=9, p=6)
+
+
+def rrs_sample_log_full(spark, sf):
+    return resampling.sample_log(_draws_full(spark, sf), motifs.find_motifs(_known(spark, sf), "mr"), (2, 3, 4))
+
+
+def local_rrs_selected_full(spark, sf):
+    return _rounded(motifs.select_motifs(_rrs_full(spark, sf), {2: 2.0, 3: 3.0, 4: 4.0}, 0.21, 3, strict=True), avg_ref=6, ove=9, p=6)
+
+
 def _members(spark, sf):
     return motifs.motif_members(_sample(spark, sf), _selected(spark, sf))
 
@@ -369,7 +395,8 @@ local_edges_fullpos local_edges_trimpos hamming_pairs_d0 hamming_pairs_d1 hammin
 hamming_isolated struct_tags struct_edges struct_edges_blosum struct_edges_vgene global_fisher_clusters global_fisher_blosum
 global_fisher_vgene gliph1_components gliph1_donor_groups gliph2_clusters gliph2_edges germline_ranges germline_boost score_size
 score_length score_vgene score_clonal score_hla hla_listing score_total_v1 score_total_v2 ref_frequencies pwm_scoring pwm_prediction
-length_distribution denovo_generate denovo_rank network_nodes network_edges roundtrip_save_load""".split()
+length_distribution denovo_generate denovo_rank network_nodes network_edges roundtrip_save_load
+subsample_srswor_full local_rrs_full local_rrs_selected_full rrs_sample_log_full""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _AA = f"'[{RESIDUES}]"
@@ -592,3 +619,5 @@ SELECT tag, round(1 / (least(count(*), 100) + (SELECT x FROM ne) / 1000), 9) AS
     + ", ee AS (SELECT V1 AS v1, V2 AS v2, type FROM clone_network WHERE type IN ('local', 'global') AND V1 <> V2) SELECT least(a.id, b.id) AS \"from\", greatest(a.id, b.id) AS \"to\", max(type) AS label FROM ee JOIN nn a ON a.label = ee.v1 JOIN nn b ON b.label = ee.v2 AND a.tag = b.tag GROUP BY ALL",
     "roundtrip_save_load": _BASE + _GROUPS + " SELECT tag, s AS cdr3b FROM gd",
 }
+_ALL = "k <= (SELECT count(*) FROM ref)"
+SQL |= {name + "_full": SQL[name].replace("k <= 1000", _ALL).replace("k <= 200", _ALL) for name in ("subsample_srswor", "local_rrs", "local_rrs_selected", "rrs_sample_log")}
