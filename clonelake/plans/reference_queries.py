@@ -352,6 +352,14 @@ def pwm_prediction(spark, sf):
     return _rounded(denovo.prediction_matrix(_matrix_groups(spark, sf)), freq=9)
 
 
+def pwm_scoring_full(spark, sf):
+    return _rounded(denovo.scoring_matrix(_cdr3_groups(spark, sf)), freq=9)
+
+
+def pwm_prediction_full(spark, sf):
+    return _rounded(denovo.prediction_matrix(_cdr3_groups(spark, sf)), freq=9)
+
+
 def length_distribution(spark, sf):
     return _rounded(denovo.length_distribution(_cdr3_groups(spark, sf)), prob=9)
 
@@ -396,7 +404,8 @@ hamming_isolated struct_tags struct_edges struct_edges_blosum struct_edges_vgene
 global_fisher_vgene gliph1_components gliph1_donor_groups gliph2_clusters gliph2_edges germline_ranges germline_boost score_size
 score_length score_vgene score_clonal score_hla hla_listing score_total_v1 score_total_v2 ref_frequencies pwm_scoring pwm_prediction
 length_distribution denovo_generate denovo_rank network_nodes network_edges roundtrip_save_load
-subsample_srswor_full local_rrs_full local_rrs_selected_full rrs_sample_log_full""".split()
+subsample_srswor_full local_rrs_full local_rrs_selected_full rrs_sample_log_full
+pwm_scoring_full pwm_prediction_full""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _AA = f"'[{RESIDUES}]"
@@ -621,3 +630,5 @@ SELECT tag, round(1 / (least(count(*), 100) + (SELECT x FROM ne) / 1000), 9) AS
 }
 _ALL = "k <= (SELECT count(*) FROM ref)"
 SQL |= {name + "_full": SQL[name].replace("k <= 1000", _ALL).replace("k <= 200", _ALL) for name in ("subsample_srswor", "local_rrs", "local_rrs_selected", "rrs_sample_log")}
+_FIVE = " AND tag IN (SELECT tag FROM gd GROUP BY tag HAVING count(*) >= 5)"
+SQL |= {name + "_full": SQL[name].replace(_FIVE, "") for name in ("pwm_scoring", "pwm_prediction")}

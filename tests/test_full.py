@@ -12,3 +12,11 @@ def test_draws_as_many_as_the_compared_sequences(spark):
     drawn = q.QUERIES["subsample_srswor_full"](spark, FOLDER).groupBy("sim").agg(F.count_distinct("cdr3b").alias("n")).collect()
     assert [r.n for r in drawn] == [want] * q.SIMS
     assert [r["count"] for r in q._draws_full(spark, FOLDER).groupBy("sim").count().collect()] == [want] * q.SIMS
+
+
+def test_every_group_has_a_matrix(spark):
+    groups = q._cdr3_groups(spark, FOLDER).filter(F.length("CDR3b") >= 10).select("tag").distinct()
+    for name in ("pwm_scoring_full", "pwm_prediction_full"):
+        assert "HAVING count(*) >= 5" not in q.SQL[name]
+        tags = q.QUERIES[name](spark, FOLDER).select("tag").distinct()
+        assert groups.exceptAll(tags).count() == tags.exceptAll(groups).count() == 0 < groups.count()
