@@ -6,6 +6,7 @@ sample (resampling) they change places. Groups for scoring are those of clone_ne
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -281,10 +282,14 @@ def germline_boost(spark, sf):
     return germline.germline_boost(heads, rows, germline.germline_ranges(_sample(spark, sf), *_fragments(spark, sf))).withColumn("p_boosted", F.round("p_boosted", 9))
 
 
-def score_size(spark, sf):
+def _sizes(spark, sf):
     probs = spark.range(1, 101).select(F.col("id").cast("int").alias("cluster_size"), F.explode(F.array(*[F.lit(x) for x in (125, 500, 2000, 10000)])).alias("sample_size"))
     probs = probs.withColumn("prob", 1 / (F.col("cluster_size") + F.col("sample_size") / 1000))
-    return _rounded(scoring.size_score(_groups(spark, sf), probs, _rows(spark, sf).count()), score=9)
+    return scoring.size_score(_groups(spark, sf), probs, _rows(spark, sf).count())
+
+
+def score_size(spark, sf):
+    return _rounded(_sizes(spark, sf), score=9)
 
 
 def _length_freqs(spark, sf):
@@ -320,9 +325,11 @@ def hla_listing(spark, sf):
     return scoring.hla_listing(_groups(spark, sf), _rows(spark, sf))
 
 
-def _totals(spark, sf, version):
+def _totals(spark, sf, version, full=False):
     groups, rows = _groups(spark, sf), _rows(spark, sf)
     parts = [scoring.length_score(groups, _length_freqs(spark, sf), SIMS, version), scoring.clonal_score(groups, rows, SIMS), scoring.hla_score(groups, rows)]
+    if full:
+        parts += [_sizes(spark, sf), scoring.vgene_score(groups, _vgene_freqs(spark, sf), SIMS, version)]
     return _rounded(scoring.total_score(parts, version), score=6)
 
 
@@ -334,6 +341,14 @@ def score_total_v2(spark, sf):
     return _totals(spark, sf, 2)
 
 
+def score_total_v1_full(spark, sf):
+    return _totals(spark, sf, 1, True)
+
+
+def score_total_v2_full(spark, sf):
+    return _totals(spark, sf, 2, True)
+
+
 def _cdr3_groups(spark, sf):
     return _groups(spark, sf).select("tag", "CDR3b").distinct()
 
@@ -405,7 +420,7 @@ global_fisher_vgene gliph1_components gliph1_donor_groups gliph2_clusters gliph2
 score_length score_vgene score_clonal score_hla hla_listing score_total_v1 score_total_v2 ref_frequencies pwm_scoring pwm_prediction
 length_distribution denovo_generate denovo_rank network_nodes network_edges roundtrip_save_load
 subsample_srswor_full local_rrs_full local_rrs_selected_full rrs_sample_log_full
-pwm_scoring_full pwm_prediction_full""".split()
+pwm_scoring_full pwm_prediction_full score_total_v1_full score_total_v2_full""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _AA = f"'[{RESIDUES}]"
@@ -632,3 +647,10 @@ _ALL = "k <= (SELECT count(*) FROM ref)"
 SQL |= {name + "_full": SQL[name].replace("k <= 1000", _ALL).replace("k <= 200", _ALL) for name in ("subsample_srswor", "local_rrs", "local_rrs_selected", "rrs_sample_log")}
 _FIVE = " AND tag IN (SELECT tag FROM gd GROUP BY tag HAVING count(*) >= 5)"
 SQL |= {name + "_full": SQL[name].replace(_FIVE, "") for name in ("pwm_scoring", "pwm_prediction")}
+_VGENE = ("SELECT tag, v AS c FROM g WHERE v IS NOT NULL", "SELECT vgene AS c, coalesce(freq, 0.0) AS f FROM vgene_frequencies")
+SQL |= {
+    f"score_total_v{version}_full": _BASE + _GROUPS + ", " + _category(*_LEN, op, "len") + ", " + re.sub(r"\b(c[rfsodtx]|cum)\b", r"v_\1", _category(*_VGENE, op, "v")) + ", " + _CLONAL + ", " + _HLA
+    + f""", si AS (SELECT tag, score AS size_score FROM ({SQL["score_size"].removeprefix(_BASE + _GROUPS + ", ").join(["WITH ", ""])}))
+SELECT cx.tag, round({factor} * cx.score * cl.score * hs.score * size_score * coalesce(v_cx.score, 1.0), 6) AS score FROM cx JOIN cl USING (tag) JOIN hs USING (tag) JOIN si USING (tag) LEFT JOIN v_cx USING (tag)"""
+    for version, op, factor in ((1, ">=", 0.064), (2, ">", 1.0))
+}

@@ -20,3 +20,22 @@ def test_every_group_has_a_matrix(spark):
         assert "HAVING count(*) >= 5" not in q.SQL[name]
         tags = q.QUERIES[name](spark, FOLDER).select("tag").distinct()
         assert groups.exceptAll(tags).count() == tags.exceptAll(groups).count() == 0 < groups.count()
+
+
+def test_totals_hold_all_five_factors(spark):
+    groups, rows = q._groups(spark, FOLDER), q._rows(spark, FOLDER)
+    score = lambda df: {r.tag: r.score for r in df.collect()}
+    part = [
+        score(q.scoring.length_score(groups, q._length_freqs(spark, FOLDER), q.SIMS, 2)),
+        score(q.scoring.clonal_score(groups, rows, q.SIMS)),
+        score(q.scoring.hla_score(groups, rows)),
+        score(q._sizes(spark, FOLDER)),
+        score(q.scoring.vgene_score(groups, q._vgene_freqs(spark, FOLDER), q.SIMS, 2)),
+    ]
+    total = score(q.QUERIES["score_total_v2_full"](spark, FOLDER))
+    for tag, x in total.items():
+        want = 1.0
+        for p in part:
+            want *= p.get(tag, 1.0)
+        assert abs(x - want) < 1e-6
+    assert any(abs(total[t] - part[0][t] * part[1][t] * part[2][t]) > 1e-4 for t in total)
