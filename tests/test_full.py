@@ -1,9 +1,12 @@
 """Queries that do the whole job, next to the ones whose SQL twins bind them to a part."""
 
+import pytest
 from pyspark.sql import functions as F
 from sqlcheck import FOLDER
 
+from clonelake.params import Params
 from clonelake.plans import reference_queries as q
+from clonelake.plans.pipeline import run
 
 
 def test_draws_as_many_as_the_compared_sequences(spark):
@@ -39,3 +42,22 @@ def test_totals_hold_all_five_factors(spark):
             want *= p.get(tag, 1.0)
         assert abs(x - want) < 1e-6
     assert any(abs(total[t] - part[0][t] * part[1][t] * part[2][t]) > 1e-4 for t in total)
+
+
+def test_options_of_a_run_are_honoured(spark):
+    rep = spark.createDataFrame([(f"CASS{a}GQG{b}EQYF",) for a in "LRK" for b in "TND"], "CDR3b string")
+    ref = spark.createDataFrame([(f"CASS{a}{b}PTNEKLFF",) for a in "LRKAVI" for b in "AVILTS"] + [(f"CASS{a}GQG{b}EQYF",) for a in "LRKAVI" for b in "DEHW"], "CDR3b string")
+    base = dict(lcminove=(1,), lcminp=1.1, kmer_mindepth=1, sim_depth=2, scoring_sim_depth=2)
+    out = run(rep, ref, Params(method="gliph1", discontinuous_motifs=True, **base), score=False)
+    motifs = {r.motif: r.counts for r in out.tables["all_motifs"].collect()}
+    assert motifs["G.G"] == 9 and "G.G" in {r.motif for r in out.tables["selected_motifs"].collect()}
+    log = out.tables["sample_log"].collect()
+    assert {r.motif for r in log} <= set(motifs) and any("." in r.motif for r in log)
+    f = lambda *x: spark.createDataFrame([(s,) for s in x], "fragment string")
+    plain = run(rep, ref, Params(**base), score=False).tables["cluster_properties"].filter("type = 'local'")
+    boost = run(rep, ref, Params(boost_local_significance=True, **base), score=False, germline=(f("CASS"), f("GG"), f("EQYF"))).tables["cluster_properties"].filter("type = 'local'")
+    a, b = ({r.tag: r.p for r in x.collect()} for x in (plain, boost))
+    assert a.keys() == b.keys() and all(b[t] <= a[t] for t in a) and any(b[t] < a[t] for t in a)
+    for bad in (Params(boost_local_significance=True), Params(method="gliph1", global_method="fisher"), Params(global_method="cutoff")):
+        with pytest.raises(ValueError):
+            run(rep, ref, bad)
