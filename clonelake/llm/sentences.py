@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,7 @@ _TAIL = re.compile(r"(?:[ \xa0 ]?»|[\"'”’›」』)\]}）】》〉“])+")
 _QUOTES = re.compile(r"[\"“„«「『‘《]|(?<![^\s(\[（])'(?=\w)")
 _LOWER = re.compile(r"(?<![\w'’-])[^\W\d_A-Z][^\W\d_]*")
 _ITEM = re.compile(r"[\[【(（]?\s*(?:\d{1,5}|[ivxIVX]{1,5}|[A-Za-z])\s*[\])】）]?\.?")
+_ROUND = re.compile(r"[()（）]")
 _POINT = re.compile(r"\.\s+")
 #: A point after which a text may go on, within a paragraph; what heads an item does not show it.
 _GOES = re.compile(r"\.(?:(?:[^\S\n]+\n?|\n)[^\S\n]*(?=[^\W_A-Z])(?!\d+[.)、．])|\s?(?=[,;]))")
@@ -73,6 +76,7 @@ def _cjk(c: str) -> bool:
 def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """(opening, closing) places of quotations within text[a:b]; a mark without its mate is none."""
     out, at = [], a
+    gone = set()  # mates that don't come again
     while m := _QUOTES.search(text, at, b):
         i, c = m.start(), m[0]
         at = i + 1
@@ -80,16 +84,24 @@ def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
             if i > a and not text[i - 1].isspace() and text[i - 1] not in "([（：:，,、" and not _cjk(text[i - 1]):
                 continue
             end = i + 1
-            while True:
+            while c not in gone:
                 end = text.find(c, end, b)
                 if end < 0 or end + 1 >= b or (not text[end + 1].isalnum() or _cjk(text[end + 1])) and not (text[end - 1].isspace() and text[end + 1].isalnum()):
                     break
                 end += 1
+            else:
+                continue
+            if end < 0:
+                gone.add(c)
         else:
-            mates = PAIRS[c]
-            ends = [e for x in mates if (e := text.find(x, i + 1, b)) >= 0]
+            ends = []
+            for x in PAIRS[c]:
+                if x not in gone and (e := text.find(x, i + 1, b)) >= 0:
+                    ends.append(e)
+                else:
+                    gone.add(x)
             end = min(ends, default=-1)
-        if 0 <= end and end - i < 1000:
+        if 0 <= end:
             out.append((i, end))
             at = end + 1
     return out
@@ -178,7 +190,8 @@ class Segmenter:
         b = a + len(text[a:b].rstrip())
         if (first := _SOLID.search(text, a, b)) is None:
             return
-        a = first.start()
+        a = self._from = first.start()
+        self._brackets: list[int] | None = None
         ends = []
         quotes = None if self._quoted else []
         start = a
@@ -447,17 +460,15 @@ class Segmenter:
         """A lone letter or roman number at a sentence's start heads an item only in lower case; A. B. is a name."""
         return text[start:i].strip("[]()（）【】 ").islower() and len(text[start:i]) > 1
 
-    @staticmethod
-    def _open_bracket(text: str, start: int, i: int, b: int) -> bool:
+    def _open_bracket(self, text: str, start: int, i: int, b: int) -> bool:
         """Is text[i] within brackets that were opened in the sentence and are closed behind it?"""
-        opened = max(text.rfind("(", start, i), text.rfind("（", start, i))
-        if opened < 0:
-            return False
-        piece = text[max(start, i - 400) : i]
-        if piece.count("(") + piece.count("（") <= piece.count(")") + piece.count("）"):
+        if self._brackets is None:  # of the paragraph, with how many are open before each
+            self._brackets = [m.start() for m in _ROUND.finditer(text, self._from, b)]
+            self._depths = [0, *accumulate(1 if text[k] in "(（" else -1 for k in self._brackets)]
+        k = bisect_left(self._brackets, i)
+        if k == len(self._brackets) or text[self._brackets[k]] in "(（":
             return False
-        m = re.search(r"[()（）]", text[i : min(b, i + 400)])
-        return m is not None and m[0] in ")）"
+        return self._depths[k] > self._depths[bisect_left(self._brackets, start)]
 
 
 def abbreviations(texts: DataFrame, text: str) -> DataFrame:

@@ -318,6 +318,14 @@ def test_sentences(spark):
     assert split_sentences(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_long_brackets_and_quotations():
+    inner = "It opens at noon. " * 80
+    for text in (f"The valve ({inner}) is closed. It ends.", f"It reads “{inner.strip()}” before noon. It ends.", f'It reads "{inner.strip()}" before noon. It ends.'):
+        assert [text[a:b][-12:] for a, b in Segmenter().sentences(text)] == [text[: -len(" It ends.")][-12:], "It ends."]
+    for mark in ("(", "“ ", ' "'):  # open marks without a mate take no time
+        assert len(Segmenter().sentences((mark + "It opens. ") * 20_000)) > 10_000
+
+
 def test_abbreviations_of_one_document(spark):
     shown = "Der Zyl. ist lang. Er hat einen Zyl. Brinnow nach innen. Am Zyl. Quillor liegt er."
     text = "The qual. level is low. A qual. Brinnow test follows. It has a qual. The level is low in the bath."
