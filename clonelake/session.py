@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,13 +33,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="clonelake-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
-    return found
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files: short lineage that survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the files: short lineage that survives lost executors.
+
+    A compressed table rather than an RDD checkpoint: a fraction of its size, and its columns can be pruned.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` wrote; nothing that is still to be computed may read it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parallelism(spark: SparkSession) -> int:
