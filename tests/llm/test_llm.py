@@ -9,7 +9,7 @@ from clonelake.llm import bpe, queries
 from clonelake.llm.canonical import Resolver, resolve_values
 from clonelake.llm.components import connected_components
 from clonelake.llm.frequencies import dictionary, marked, term_frequencies
-from clonelake.llm.mixing import _end_time, mix_sources
+from clonelake.llm.mixing import mix_sources
 from clonelake.llm.near import near_pairs
 from clonelake.llm.sampling import proportional_sample
 from clonelake.llm.sentences import Segmenter, split_sentences
@@ -116,22 +116,14 @@ def test_components(spark, kind):
 def test_components_of_hot_vertices(spark, monkeypatch):
     from clonelake.llm import components
 
-    monkeypatch.setattr(components, "_lookup", _always_hot(components))
+    monkeypatch.setattr(components, "EASY", 10)
+    monkeypatch.setattr(components, "HOT", 20)
     edges = [("hub", f"x{i}") for i in range(300)] + [(f"x{i}", f"y{i}") for i in range(0, 300, 7)] + [("p", "q")]
     df = spark.createDataFrame(edges, "a string, b string")
     assert dict(tuple(r) for r in components.connected_components(df, "a", "b").collect()) == union_find(edges)
     assert components.connected_components(df.limit(0), "a", "b").count() == 0
 
 
-def _always_hot(components):
-    original = components._lookup
-
-    def lookup(rows, n, key, values):
-        return original(rows, 50_000 * components.HOT + 1 if n > 100 else n, key, values)
-
-    return lookup
-
-
 # 5
 
 GENES = ["TRBV7-2", "TRBV7-3", "TRBV10-1", "TRBV11-3", "TRBV9", "TRBV1", "TRBV12-3", "TRBV20-1", "TRBV30", "TRBV2"]
@@ -280,7 +272,32 @@ def test_mix_of_nothing(spark):
     w = spark.createDataFrame([("a", 1.0, 2)], "source string, weight double, max_repeats int")
     mix = mix_sources(spark.createDataFrame([], "k long, source string, n long"), "k", "source", "n", w)
     assert mix.rows.count() == 0 and mix.report.first().taken == 0
-    assert _end_time([(10, 0.5), (100, 0.5)], 60) == pytest.approx(100)
+
+
+def test_mix_is_a_beginning_of_the_sorted_queue(spark):
+    even = [(i, f"s{i % 10}", 100) for i in range(40)]
+    rnd = random.Random(3)
+    odd = [(i, rnd.choice("abc"), rnd.choice([0, 1, 7, 400, 90_000])) for i in range(200)]
+    cases = [(even, {f"s{i}": (0.1, 1) for i in range(10)}, b) for b in (300, 0, 99, 10_000)]
+    cases += [(odd, {"a": (0.7, 2), "b": (0.2, 1), "c": (0.1, 9)}, b) for b in (None, 500, 1_000_000)]
+    for docs, weights, budget in cases:
+        s = spark.createDataFrame(docs, "k long, src string, n long")
+        w = spark.createDataFrame([(x, *y) for x, y in weights.items()], "source string, weight double, max_repeats int")
+        full = sorted((r.finish, r.src, r["repeat"], r.k, r.n) for r in mix_sources(s, "k", "src", "n", w, budget=10**12).rows.collect())
+        assert Counter((x[3], x[1]) for x in full) == Counter({(k, x): weights[x][1] for k, x, _ in docs})
+        upto = Counter()
+        for f, x, _, _, n in sorted(full, key=lambda x: (x[1], x[0])):
+            upto[x] += n
+            assert n == 0 or f == pytest.approx(upto[x] / weights[x][0])
+        left = sum(n for _, _, n in docs) if budget is None else budget
+        want = []
+        for row in full:
+            left -= row[4]
+            if left < 0:
+                break
+            want.append(row[1:])
+        mix = mix_sources(s, "k", "src", "n", w, budget=budget)
+        assert sorted((r.src, r["repeat"], r.k, r.n) for r in mix.rows.collect()) == sorted(want)
 
 
 # 10
