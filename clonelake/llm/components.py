@@ -23,7 +23,7 @@ from clonelake.session import cut, drop
 #: Most vertices that a broadcast may hold.
 HOT = 2000
 #: Rows of one key that a task takes without trouble.
-EASY = 50_000
+EASY = 5_000_000
 
 
 def _lookup(rows: DataFrame, n: int, key: str, values: DataFrame, how: str = "inner") -> DataFrame:
