@@ -1,8 +1,9 @@
 """Per-key results where a few keys hold most rows.
 
 Method: dense accumulator arrays. Rows lie in equal splits, by the hash of the record and not of the key. Each split
-encodes its keys by a dictionary and runs numpy's bincount over the codes, so it gives one count per key it holds,
-however many rows the key has; the splits' arrays are then summed by key, combined on the map side again.
+encodes its keys and runs numpy's bincount over the codes, so it gives one count per key it holds, however many rows
+the key has. A global dictionary then numbers the keys, the splits' counts become arrays over its numbers, and the
+arrays are summed by block.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonelake.functions.text import not_blank
+from clonelake.operators.dense import block_sums, dictionary
+from clonelake.session import cut
+
 
 def _bincount_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(field, val) rows of one split -> (field, val, n). Memory grows with the split's distinct keys, not its rows."""
@@ -41,15 +45,16 @@ def _bincount_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def count_by_key(rows: DataFrame) -> DataFrame:
     """(field, val) rows, in splits of about equal size -> (field, val, n)."""
-    return rows.mapInArrow(_bincount_split, "field string, val string, n bigint").groupBy("field", "val").agg(F.sum("n").alias("n"))
+    splits = cut(rows.mapInArrow(_bincount_split, "field string, val string, n bigint"))  # a row per split and key
+    keys = cut(dictionary(splits, ["field", "val"]))
+    sums = block_sums(splits.join(keys, ["field", "val"]), ["n"])
+    return keys.join(sums, "id").select("field", "val", "n")
 
 
 def _keys(df: DataFrame, fields: list[str], *more: str) -> DataFrame:
     """One row per record and field, with the keys that are neither null nor blank."""
-    from clonelake.functions.text import not_blank
-
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("val")) for f in fields])
-    return df.select(F.inline(pairs), *more).filter(not_blank("val")) if not more else df.select(*more, F.inline(pairs)).filter(not_blank("val"))
+    return df.select(*more, F.inline(pairs)).filter(not_blank("val"))
 
 
 def balanced_key_stats(records: DataFrame, fields: list[str], record: str, distinct_of: str | None = None) -> DataFrame:

@@ -41,9 +41,9 @@ SQL = {
 WITH f AS (
   SELECT DISTINCT 'cdr3_sequences' AS tbl, seq_ID AS row_id, HLA AS x FROM cdr3_sequences WHERE HLA IS NOT NULL
   UNION ALL SELECT 'local_res', res_id, members FROM local_res WHERE members IS NOT NULL),
-t AS (SELECT tbl, row_id, regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS x FROM f),
+t AS (SELECT tbl, row_id, regexp_replace(x, '^[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g') AS x FROM f),
 b AS (SELECT tbl, row_id, CASE WHEN length(x) > 1 AND left(x, 1) || right(x, 1) IN ('()', '[]', '{}') THEN x[2:-2] ELSE x END AS x FROM t),
-v AS (SELECT tbl, row_id, regexp_extract_all(x, '"(?:[^"]|"")*"|[^",;|/&+，；、\s\x{00A0}]+') AS vs FROM b),
+v AS (SELECT tbl, row_id, regexp_extract_all(x, '"(?:[^"]|"")*"|[^",;|/&+，；、\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+') AS vs FROM b),
 w AS (SELECT tbl, row_id, list_filter(list_transform(vs, lambda s: CASE WHEN left(s, 1) = '"' THEN replace(s[2:-2], '""', '"') ELSE s END), lambda s: s <> '') AS vs FROM v),
 e AS (SELECT tbl, row_id, unnest(range(1, len(vs) + 1)) AS p, vs FROM w)
 SELECT tbl, row_id, p::INTEGER AS pos, vs[p] AS val FROM e""",
