@@ -3,67 +3,21 @@
 Method: a global dictionary gives each distinct term an integer; terms are encoded; each block of rows accumulates
 count arrays, for occurrences and for record presence; the arrays are summed by range of identifiers.
 
-The dictionary is built without a global sort: terms are numbered within hash buckets and a bucket's numbers start
-where the one before ends. Records fall into blocks by their hash; a hot term is one row per block when it meets the
-dictionary and one array cell after that, so no task gets all rows of a term.
+Records fall into blocks by their hash; a hot term is one row per block when it meets the dictionary and one array cell
+after that, so no task gets all rows of a term.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Identifiers per count array.
-WIDTH = 4096
+from clonelake.operators.dense import block_sums, dictionary
+
 #: Blocks of records.
 BLOCKS = 64
 
 
-def dictionary(terms: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
-    """``keys`` and a dense bigint ``id`` from 0 for each distinct row of ``keys``."""
-    named = terms.select(*keys).distinct().withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    ranked = named.withColumn("__at", F.row_number().over(Window.partitionBy("__bucket").orderBy(*keys)))
-    # a row per bucket
-    ends = ranked.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    starts = ends.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("__start"))
-    return ranked.join(F.broadcast(starts), "__bucket").select(*keys, (F.coalesce("__start", F.lit(0)) + F.col("__at") - 1).alias("id"))
-
-
-def _block_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, present) rows of a block -> one pair of count arrays per range of ids that occurs."""
-    arrays: dict[int, np.ndarray] = {}
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        both = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (1, 2)]
-        ranges = ids // WIDTH
-        for r in np.unique(ranges):
-            at = ranges == r
-            local = ids[at] - r * WIDTH
-            sums = np.stack([np.bincount(local, weights=w[at], minlength=WIDTH) for w in both]).astype(np.int64)
-            arrays[r] = arrays[r] + sums if r in arrays else sums
-    yield from _as_batches(arrays)
-
-
-def _sum_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count arrays of many blocks -> one pair per range; a range lies in one task."""
-    arrays: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for r, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            sums = np.stack([a.values.to_numpy(), b.values.to_numpy()])
-            arrays[r] = arrays[r] + sums if r in arrays else sums
-    yield from _as_batches(arrays)
-
-
-def _as_batches(arrays: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for r, sums in arrays.items():
-        yield pa.record_batch([pa.array([r], pa.int64()), pa.array([sums[0]], pa.list_(pa.int64())), pa.array([sums[1]], pa.list_(pa.int64()))], names=["range", "occurrences", "presences"])
-
-
 def term_frequencies(rows: DataFrame) -> DataFrame:
     """rows: field, term, record -> field, term, occurrences, records.
 
@@ -75,13 +29,8 @@ def term_frequencies(rows: DataFrame) -> DataFrame:
     # at most BLOCKS rows per term, however many records hold it, before the terms meet the dictionary
     block = F.pmod(F.xxhash64("record"), F.lit(BLOCKS)).alias("block")
     blocks = pairs.groupBy("field", "term", block).agg(F.sum("n").alias("n"), F.count("record").alias("present"))
-    arrays = "range bigint, occurrences array<bigint>, presences array<bigint>"
-    encoded = blocks.join(words, ["field", "term"]).select("id", "n", "present")
-    summed = encoded.mapInArrow(_block_arrays, arrays).repartition("range").mapInArrow(_sum_arrays, arrays)
-    counts = summed.select("range", F.posexplode(F.arrays_zip("occurrences", "presences")).alias("at", "c")).select(
-        (F.col("range") * WIDTH + F.col("at")).alias("id"), F.col("c.occurrences").alias("occurrences"), F.col("c.presences").alias("records")
-    )
-    return words.join(counts, "id").select("field", "term", "occurrences", "records")
+    counts = block_sums(blocks.join(words, ["field", "term"]).select("id", "n", "present"), ["n", "present"])
+    return words.join(counts, "id").select("field", "term", F.col("n").alias("occurrences"), F.col("present").alias("records"))
 
 
 def marked(frequencies: DataFrame, totals: DataFrame, rare_below: int, common_percent: dict[str, int]) -> DataFrame:
