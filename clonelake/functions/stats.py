@@ -1,8 +1,9 @@
-"""Statistics of enrichment."""
+"""Statistics of enrichment, and random numbers that repeat on any cluster and in SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,6 +73,50 @@ def hypergeometric_tail(c: Column, m: Column, n: Column, k: Column) -> Column:
     return _tail(*[x.cast("bigint") for x in (c, m, n, k)])
 
 
-def uniform(*parts: Column | str) -> Column:
-    """A number in [0, 1) that depends on the parts only: the first 32 bits of the md5 of their texts joined by colons."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
+#: A prime; numbers below it multiply without overflow in 64 bits, in numpy, in the JVM and in SQL alike.
+PRIME = 2**31 - 1
+
+
+def _hex(text: str, part: int) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[8 * part : 8 * part + 8], 16) % PRIME
+
+
+def md5_number(text: Column, part: int) -> Column:
+    """A number below PRIME: the part-th 32 bits (from 0) of the text's md5."""
+    return F.conv(F.substring(F.md5(text), 8 * part + 1, 8), 16, 10).cast("bigint") % PRIME
+
+
+def lines(sims: range) -> np.ndarray:
+    """Two random linear maps of each simulation, (a, b, c, d, e, f) a column."""
+    return np.array([[_hex(f"{kind}:{s}", part) or 1 for s in sims] for kind in ("low", "high") for part in range(3)], dtype=np.int64)
+
+
+def ranks(x: np.ndarray, y: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """62-bit numbers by which a simulation orders items with the numbers x and y."""
+    a, b, c, d, e, f = (int(v) for v in line)
+    return (((a * x + b * y % PRIME + c) % PRIME) << 31) | ((d * x + e * y % PRIME + f) % PRIME)
+
+
+def draws(size: int, sims: range, salt: str, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Numbers in [0, 1), a row of ``size`` of them (or those from start to stop) for each simulation.
+
+    They depend on size, simulation, place and salt only. Two rounds of raising to the fifth power, which permutes the
+    numbers below PRIME, begin at an md5 per row.
+    """
+    base = md5_pairs(f"{size}:{s}:{salt}" for s in sims)
+    return draws_from(base, np.arange(start + 1, (size if stop is None else stop) + 1, dtype=np.int64))
+
+
+def md5_pairs(texts: Iterable[str]) -> np.ndarray:
+    """Two numbers below PRIME for each text, from its md5."""
+    return np.array([[_hex(t, part) for part in (0, 1)] for t in texts], dtype=np.int64).reshape(-1, 2)
+
+
+def draws_from(base: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1): a row for each pair of ``base``, a column for each place."""
+    return _fifth((_fifth((base[:, :1] + places % PRIME * 1_000_003) % PRIME) + base[:, 1:]) % PRIME) / PRIME
+
+
+def _fifth(t: np.ndarray) -> np.ndarray:
+    square = t * t % PRIME
+    return square * square % PRIME * t % PRIME

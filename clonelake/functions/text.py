@@ -25,3 +25,13 @@ def not_blank(c: Column | str) -> Column:
     """False for null, empty and blank values."""
     c = F.col(c) if isinstance(c, str) else c
     return F.coalesce(F.btrim(c, F.lit(BLANKS)) != "", F.lit(False))
+
+
+def scientific(x: Column) -> Column:
+    """A number of 0 or more with two significant digits, as 1.2e-03; halves go up. Null stays null; below 1e-300 it is 0."""
+    x = F.when(x >= 1e-300, x).when(x < 1e-300, 0.0)
+    exponent = F.floor(F.log10(x))
+    digits = F.floor(F.round(F.try_divide(x, F.pow(F.lit(10.0), exponent)), 6) * 10 + 0.5)  # 10 to 100
+    exponent, digits = F.when(digits == 100, exponent + 1).otherwise(exponent), F.when(digits == 100, 10).otherwise(digits)
+    text = F.concat(F.floor(digits / 10), F.lit("."), digits % 10, F.when(exponent < 0, "e-").otherwise("e+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent))
+    return F.when(x == 0, "0.0e+00").otherwise(text)

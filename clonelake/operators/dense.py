@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clonelake.session import parallelism
+from clonelake.session import cut, parallelism
 
 #: Numbers that one dense array covers.
 WIDTH = 65_536
@@ -32,6 +32,19 @@ def dictionary(terms: DataFrame, keys: list[str], buckets: int | None = None) ->
     return ranked.join(F.broadcast(starts), "__bucket").select(*keys, (F.coalesce("__start", F.lit(0)) + F.col("__at") - 1).alias("id"))
 
 
+def numbered(rows: DataFrame, order: list[str], into: str, start: int = 1) -> DataFrame:
+    """``rows`` with ``into``: dense bigint numbers in the order of ``order``; rows that tie there are numbered in any order.
+
+    Rows are sorted by range and written once; each range is numbered by itself, from where the ranges before it end.
+    """
+    ranged = cut(rows.repartitionByRange(*[F.col(f"`{c}`") for c in order]).withColumn("__range", F.spark_partition_id()))
+    ends = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    starts = ends.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*[F.col(f"`{c}`") for c in order]))
+    out = ranged.withColumn(into, place).join(F.broadcast(starts), "__range")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns if c != into], (F.col("__start") + F.col(into) + (start - 1)).cast("bigint").alias(into))
+
+
 def _columns(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.int64)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,8 +106,3 @@ def residue_groups(present: Column) -> Column:
         )
 
     return F.array_distinct(F.transform(present, lambda a: F.array_join(F.array_sort(reach(a)), "")))
-
-
-def block_choices(size: int, most: int) -> int:
-    """Variants per sequence of ``size`` residues; for planning only."""
-    return len(list(combinations(range(size), min(most, size))))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from clonelake.functions.text import RESIDUES
+from clonelake.operators.dense import numbered
 
 #: Canonical column names and the other names that they may have, in order of preference.
 ALIASES = {
@@ -19,9 +19,11 @@ ALIASES = {
 }
 #: Names of the published reference repertoires.
 REFERENCE_NAMES = (
-    *(f"{species}_{kind}" for species in ("human_v1.0", "human_v2.0", "mouse_v1.0") for kind in ("CD4", "CD8", "CD48")),
+    "human_v1.0_CD4", "human_v1.0_CD8", "human_v1.0_CD48",
+    "human_v2.0_CD4", "human_v2.0_CD8", "human_v2.0_CD48",
+    "mouse_v1.0_CD4", "mouse_v1.0_CD8", "mouse_v1.0_CD48",
     "gliph_reference",
-)
+)
 REPERTOIRE = T.StructType(
     [T.StructField("seq_ID", T.LongType())] + [T.StructField(c, T.StringType()) for c in ("CDR3b", "TRBV", "patient", "HLA")] + [T.StructField("counts", T.DoubleType())]
 )
@@ -82,8 +84,7 @@ def parse_sequences(df: DataFrame, order_by: str | None = None, filter_sample: b
         known = [c for c in REPERTOIRE.names if c in out.columns]
         others = [c for c in out.columns if c not in known and c not in ("loaded_at", "sampled_at")]
         return out.select(*known, *[f"`{c}`" for c in others]).distinct()
-    # a dense number needs one order over all rows; keep an id column at scale
-    return out.withColumn("seq_ID", F.row_number().over(Window.orderBy(*([order_by] if order_by else []), *[F.col(f"`{c}`") for c in out.columns])).cast("bigint"))
+    return numbered(out, [*([order_by] if order_by else []), *out.columns], "seq_ID")
 
 
 def load_reference(df: DataFrame, accept_cf: bool = True, min_length: int = 8, boundary_size: int = 3) -> DataFrame:

@@ -1,9 +1,11 @@
 import math
 
+import pytest
+
 from clonelake.operators import denovo
 
-MEMBERS = ["CASSLAPGATNEKLFF", "CASSLAPRATNEKLFF", "CASSLAPGETQEKLFF", "CASSLAPQATNEKLFF", "CASSLAPGAGNEKLFF", "CASSLAPGAGNKLFF"]
-REFERENCE = ["CASSLAPGATNEKLFF", "CASSLTPGATNEKLFF", "CSARDLGQGNEQFF", "CASSPGTGAYEQYF"]
+MEMBERS = ["CATSWDPGRTHEKLFF", "CATSWDPKRTHEKLFF", "CATSWDPGETQEKLFF", "CATSWDPQRTHEKLFF", "CATSWDPGRGHEKLFF", "CATSWDPGRGHKLFF"]
+REFERENCE = ["CATSWDPGRTHEKLFF", "CATSWTPGRTHEKLFF", "CSVKDMGQGTEQYF", "CASKPGSGVYEQFF"]
 
 
 def shares(members, place):
@@ -13,17 +15,39 @@ def shares(members, place):
 
 
 def test_draws_and_ranks(spark):
-    own = spark.createDataFrame([("t", m) for m in MEMBERS], "tag string, CDR3b string")
-    refs = spark.createDataFrame([(r,) for r in REFERENCE], "CDR3b string")
-    new = [r.seq for r in denovo.generate(own, 200).collect()]
+    own = spark.createDataFrame([("t", m, v) for m, v in zip(MEMBERS, ["V1", "V2", None, "V1", "V1", "V2"], strict=True)] + [("u", "CAF", "V1")], "tag string, CDR3b string, TRBV string")
+    refs = spark.createDataFrame(list(zip(REFERENCE, ["V1", "V1", "V2", None], strict=True)), "CDR3b string, TRBV string")
+    group = own.filter("tag = 't'")
+    new = [r.seq for r in denovo.generate(group, 200).collect()]
     assert len(new) == len(set(new)) > 20
     assert all(s[0] == "C" and s[-1] == "F" and len(s) in (15, 16) for s in new)
-    assert sorted(new) == sorted(r.seq for r in denovo.generate(own.repartition(3), 200).collect())
+    assert sorted(new) == sorted(r.seq for r in denovo.generate(group.repartition(3), 200).collect())
+    free = [r.seq for r in denovo.generate(group, 400, accept_cf=False).collect()]
+    assert any(s[0] != "C" for s in free) and any(s[-1] != "F" for s in free)
     tables = [shares(MEMBERS, k) for k in range(10)]
     score = lambda s: math.prod(tables[k][s[k]] for k in range(10))
-    got = denovo.ranked(denovo.generate(own, 200), refs, denovo.scoring_matrix(own), 15).collect()
-    want = sorted(new, key=lambda s: (-round(score(s), 15), s))[:15]
-    assert {r.seq for r in got} == set(want)
-    for r in got:
-        assert math.isclose(r.score, score(r.seq), rel_tol=1e-9)
-        assert r.norm == sum(score(x) >= r.score * (1 - 1e-12) for x in REFERENCE) / len(REFERENCE)
+    norm = lambda x: sum(score(r) >= x * (1 - 1e-12) for r in REFERENCE) / len(REFERENCE)
+    plain = denovo.new_sequences(own, "t", sims=200, num_tops=15)
+    got = plain.sequences.collect()
+    assert [r.seq for r in sorted(got, key=lambda r: r.rank)] == sorted(new, key=lambda s: (-round(score(s), 15), s))[:15]
+    assert all(r.known == (r.seq in MEMBERS) and r.length == len(r.seq) for r in got)
+    assert [r.CDR3b for r in plain.members.orderBy("rank").collect()] == sorted(MEMBERS, key=lambda s: (-round(score(s), 15), s))
+    out = denovo.new_sequences(own, "t", refs, normalization=True, sims=200, num_tops=15)
+    for r in out.sequences.collect():
+        assert math.isclose(r.score, score(r.seq), rel_tol=1e-9) and r.norm == norm(r.score)
+    want = sorted(new, key=lambda s: (norm(score(s)), -round(score(s), 15), s))[:15]
+    assert [r.seq for r in out.sequences.orderBy("rank").collect()] == want
+    genes = dict(zip(REFERENCE, ["V1", "V1", "V2", None], strict=True))
+    for r in out.members.collect():
+        assert r.norm == sum(score(x) >= r.score * (1 - 1e-12) and genes[x] == r.TRBV and r.TRBV is not None for x in REFERENCE) / len(REFERENCE)
+    norms = [r.norm for r in out.members.orderBy("rank").collect()]
+    assert norms == sorted(norms)
+
+
+def test_refusals(spark):
+    own = spark.createDataFrame([("t", "CAF"), ("u", MEMBERS[0]), ("u", "CASSF")], "tag string, CDR3b string")
+    for bad in ({"tag": "x"}, {"tag": "t"}, {"tag": "u", "sims": 0}, {"tag": "u", "num_tops": "a"}, {"tag": "u", "normalization": 1}, {"tag": "u", "normalization": True}, {"tag": 3}):
+        with pytest.raises(ValueError):
+            denovo.new_sequences(own, **bad)
+    with pytest.warns(UserWarning):
+        assert denovo.new_sequences(own, "u", sims=5).members.count() == 1
