@@ -4,13 +4,17 @@ Method: the pieces into which the tokenizer's pattern splits a text are merged b
 A leaf holds the rank of the pair that starts there, and every inner node the leftmost least rank below it, so the root
 names the next merge; a merge changes the leaves of the two live neighbours and of the position it swallows, and
 updates the tree in a logarithmic number of points. The trees of many pieces of like length lie in one array and are
-merged in step by numpy. A piece that a worker has met is looked up, so each worker merges a distinct piece once.
+merged in step by numpy. In a long piece all pairs of the least rank are merged at once, which gives the same, as a
+token's later merges rank above the one that made it. A piece that a worker has met is looked up, so each worker merges a distinct piece once.
+
+The tokenizer file is read on the driver and broadcast; files with other steps than byte-level BPE are refused.
 
 Texts are encoded where they lie: no shuffle, one Arrow column in and one out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -27,6 +31,8 @@ DEFAULT = "/opt/tokenizers/byte_bpe_50k.json"
 REMEMBERED = 300_000
 #: Characters that are split and merged at once; a longer text is taken by itself.
 CHUNK = 2_000_000
+#: Bytes from which a piece has a tree of its own, and most bytes of a tokenizer file.
+LONG, MOST_FILE = 2048, 100_000_000
 #: A leaf without a merge.
 NONE = np.int64(2**62)
 
@@ -103,12 +109,24 @@ def same_pieces(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sample, inverse
 
 
+def supported(file: dict) -> dict:
+    """The file's content, if it is byte-level BPE with the usual pattern and nothing else; any other step is an error."""
+    model, before = file.get("model") or {}, file.get("pre_tokenizer") or {}
+    wrong = [k for k in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "dropout", "ignore_merges") if model.get(k)]
+    if model.get("type") != "BPE" or wrong:
+        raise ValueError(f"not a plain BPE model: {model.get('type')} {' '.join(wrong)}")
+    if file.get("normalizer") is not None:
+        raise ValueError("tokenizers with a normalizer are not supported")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("the pre-tokenizer must be ByteLevel with its own pattern and without a prefix space")
+    return file
+
+
 class BytePairs:
-    """Merges pieces of text; made once per worker from the tokenizer file."""
+    """Merges pieces of text; made once per worker from the tokenizer file's content."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, content: bytes):
+        model = supported(json.loads(content))["model"]
         vocab = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         # the file writes bytes as printable characters: printable bytes as themselves, others from U+0100 on
@@ -117,6 +135,9 @@ class BytePairs:
         shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
         self.of_byte = np.array([vocab[shown[b]] for b in range(256)], dtype=np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
+        last = {t: rank for rank, t in enumerate(self.made.tolist())}
+        #: does every merge rank above those that make its parts?
+        self.ordered = all(last.get(vocab[x], -1) < rank for rank, pair in enumerate(merges) for x in pair)
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], dtype=np.int64)
         self.bits = max(4, int(len(keys) * 3).bit_length())
         self.keys = np.full((1 << self.bits) + 64, -1, dtype=np.int64)
@@ -158,8 +179,11 @@ class BytePairs:
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(data)
         sizes = np.array([len(x) for x in data], dtype=np.int64)
         classes = np.maximum(1, np.ceil(np.log2(np.maximum(sizes, 1))).astype(int))
-        for k in np.unique(classes):
-            at = np.flatnonzero((classes == k) & (sizes > 0))
+        alone = (sizes >= LONG) & self.ordered
+        for i in np.flatnonzero(alone):
+            out[i] = self._merge_long(data[i])
+        for k in np.unique(classes[~alone]):
+            at = np.flatnonzero((classes == k) & (sizes > 0) & ~alone)
             step = max(1, (1 << 21) >> int(k))
             for s in range(0, len(at), step):
                 self._merge_class([data[i] for i in at[s : s + step]], at[s : s + step], int(k), out)
@@ -219,6 +243,59 @@ class BytePairs:
         for place, part in zip(places, np.split(values, np.cumsum(counts)[:-1]), strict=True):
             out[place] = part
 
+    def _merge_long(self, data: bytes) -> np.ndarray:
+        """One piece: each round merges all pairs of the least rank, the left one first where they overlap."""
+        size = len(data)
+        k = max(1, (size - 1).bit_length())
+        n = 1 << k
+        ids = self.of_byte[np.frombuffer(data, dtype=np.uint8)].astype(np.int32)
+        after = np.arange(1, size + 1, dtype=np.int32)  # ``size`` and -1 are outside
+        before = np.arange(-1, size, dtype=np.int32)
+        live = np.ones(size, dtype=bool)
+        tree = np.full(2 * n, NONE)
+
+        def leaves(at: np.ndarray) -> np.ndarray:
+            out = np.full(len(at), NONE)
+            inner = np.flatnonzero(after[at] < size)
+            r = self.rank(ids[at[inner]].astype(np.int64), ids[after[at[inner]]].astype(np.int64))
+            out[inner] = np.where(r >= 0, r << k | at[inner], NONE)
+            return out
+
+        tree[n : n + size] = leaves(np.arange(size))
+        for level in range(k - 1, -1, -1):
+            a = 1 << level
+            tree[a : 2 * a] = tree[2 * a : 4 * a].reshape(a, 2).min(axis=1)
+        while tree[1] < NONE:
+            rank = int(tree[1]) >> k
+            at = np.ones(1, dtype=np.int64)
+            for _ in range(k):  # all leaves of that rank, from left to right
+                at = (at[:, None] * 2 + np.arange(2)).ravel()
+                at = at[tree[at] >> k == rank]
+            pos = at - n
+            if len(pos) > 1:  # runs of pairs that share a token: every other one
+                chained = np.append(False, after[pos[:-1]] == pos[1:])
+                if chained.any():
+                    first = np.maximum.accumulate(np.where(chained, 0, np.arange(len(pos))))
+                    pos = pos[(np.arange(len(pos)) - first) % 2 == 0]
+            gone = after[pos]
+            behind = after[gone]
+            ids[pos] = self.made[rank]
+            after[pos] = behind
+            live[gone] = False
+            inner = behind < size
+            before[behind[inner]] = pos[inner]
+            left = before[pos]
+            changed = np.unique(np.concatenate([pos, left[left >= 0]]))
+            tree[n + gone] = NONE
+            tree[n + changed] = leaves(changed)
+            nodes = np.unique(np.concatenate([changed, gone])) + n
+            for _ in range(k):
+                nodes = nodes >> 1
+                if len(nodes) > 1:
+                    nodes = nodes[np.append(True, nodes[1:] != nodes[:-1])]
+                tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+        return ids[live]
+
     def _learn(self, words: list[str]) -> None:
         """Merge the new pieces and keep their ids; their codes were given in the order of the list."""
         merged = self.merge([x.encode() for x in words])
@@ -279,9 +356,25 @@ def _tail(d: dict, n: int) -> list:
     return [next(it) for _ in range(n)][::-1]
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> BytePairs:
-    return BytePairs(path)
+_MADE: dict[str, BytePairs] = {}
+
+
+def tokenizer(name: str, content) -> BytePairs:
+    """The worker's tokenizer; content: a broadcast of the file's bytes, named by their digest."""
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = BytePairs(content.value)
+    return _MADE[name]
+
+
+def _shipped(df: DataFrame, path: str):
+    """Digest and broadcast of the tokenizer file, which only the driver must have; a file of another kind is an error here."""
+    with open(path, "rb") as f:
+        content = f.read(MOST_FILE + 1)
+    if len(content) > MOST_FILE:
+        raise ValueError(f"a tokenizer file of more than {MOST_FILE} bytes")
+    supported(json.loads(content))
+    return hashlib.md5(content).hexdigest(), df.sparkSession.sparkContext.broadcast(content)
 
 
 def _texts(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -295,11 +388,12 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = DEFAULT, ids: s
 
     White space is text. The strings of special tokens are ordinary text. Repeated keys and null keys stay rows.
     """
+    name, content = _shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _texts(batch):
-                counts, flat = tokenizer(path).encode(texts)
+                counts, flat = tokenizer(name, content).encode(texts)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], names=["k", "i"])
 
@@ -310,11 +404,12 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = DEFAULT, ids: s
 
 def count_tokens(df: DataFrame, keys: list[str], text: str, path: str = DEFAULT, into: str = "tokens") -> DataFrame:
     """``keys`` and the number of tokens (bigint) of each row's text; 0 for null and empty texts."""
+    name, content = _shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _texts(batch):
-                counts, _ = tokenizer(path).encode(texts)
+                counts, _ = tokenizer(name, content).encode(texts)
                 yield pa.record_batch([*part.columns[:-1], pa.array(counts)], names=[*names, "n"])
 
     source = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.col(f"`{text}`").alias("t"))

@@ -232,8 +232,33 @@ def test_ids(spark):
     assert bpe.encode_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
+def _content(name="byte_bpe_50k.json"):
+    with open(bpe.DEFAULT.replace("byte_bpe_50k.json", name), "rb") as f:
+        return f.read()
+
+
+def test_long_pieces_merge_alike():
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(bpe.DEFAULT)
+    own, rnd = bpe.BytePairs(_content()), random.Random(4)
+    pieces = ["a" * 5000, "ab" * 3000 + "a", "é" * 3000, "-" * 2500 + "=" * 2501, "the" * 4000, "aaab" * 2000]
+    pieces += ["".join(rnd.choice(x) for _ in range(n)) for x, n in (("etaoinshrdlu", 4097), ("aab", 9000), ("abcdefgh", 2048), ("อกขคงจฉชซ", 3000))]
+    assert own.ordered
+    for x, ids in zip(pieces, own.merge([x.encode() for x in pieces]), strict=True):
+        assert ids.tolist() == t.encode(x, add_special_tokens=False).ids
+    own.ordered = False  # the same by single merges
+    assert all(a.tolist() == b.tolist() for a, b in zip(own.merge([x.encode() for x in pieces[:3]]), [own._merge_long(x.encode()) for x in pieces[:3]], strict=True))
+
+
+def test_other_tokenizers_are_refused(spark):
+    with pytest.raises(ValueError):
+        bpe.BytePairs(_content("word_bpe_49k.json"))
+    with pytest.raises(ValueError):
+        bpe.encode_texts(spark.createDataFrame([(1, "a")], "k int, t string"), "k", "t", bpe.DEFAULT.replace("byte_bpe_50k", "word_bpe_49k"))
+
+
 def test_forgetting_changes_nothing(monkeypatch):
-    own = bpe.BytePairs(bpe.DEFAULT)
+    own = bpe.BytePairs(_content())
     whole = own.encode(TEXTS)
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     monkeypatch.setattr(bpe, "CHUNK", 10)
