@@ -14,6 +14,7 @@ from clonelake.llm.mixing import Mix, mix_sources
 from clonelake.llm.near import near_pairs
 from clonelake.llm.sampling import Sample, proportional_sample
 from clonelake.llm.sentences import split_sentences
+from clonelake.llm.vgenes import BETA
 from clonelake.session import cut
 from clonelake.sources.tables import clone_records, table
 
@@ -64,7 +65,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     names = reference_names(genes, "vgene")  # checks the size of the list, so it may be broadcast
     typed = clone_records(spark, sf, "TRBV").filter(not_blank("TRBV"))
     typed = typed.join(F.broadcast(genes.select(F.col("vgene").alias("TRBV"))), "TRBV", "left_anti")
-    return resolve_values(typed, "TRBV", names).select(F.col("seq_ID").alias("seq_id"), "gene")
+    return resolve_values(typed, "TRBV", names, rules=BETA).select(F.col("seq_ID").alias("seq_id"), "gene")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,6 +13,7 @@ from clonelake.llm.mixing import mix_sources
 from clonelake.llm.near import near_pairs
 from clonelake.llm.sampling import proportional_sample
 from clonelake.llm.sentences import Segmenter, split_sentences
+from clonelake.llm.vgenes import BETA
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -139,14 +140,40 @@ MEANT = {
 
 
 def test_names_that_are_meant(spark):
-    resolver = Resolver(GENES)
+    resolver = Resolver(GENES, rules=BETA)
     assert {x: resolver.resolve(x) for xs in MEANT.values() for x in xs} == {x: g for g, xs in MEANT.items() for x in xs}
     rows = [(i, x, "clash") for i, x in enumerate([*MEANT["TRBV7-2"], None, *MEANT["UNMATCHED"]])]
     df = spark.createDataFrame(rows, "id int, v string, gene2 string")
-    got = {r.id: r.gene for r in resolve_values(df, "v", GENES).collect()}
+    got = {r.id: r.gene for r in resolve_values(df, "v", GENES, rules=BETA).collect()}
     assert got == {i: None if x is None else resolver.resolve(x) for i, x, _ in rows}
-    assert resolve_values(df.limit(0), "v", GENES).count() == 0
-    assert Resolver([]).resolve("TRBV7-2") == "UNMATCHED"
+    assert resolve_values(df.limit(0), "v", GENES, rules=BETA).count() == 0
+    assert Resolver([], rules=BETA).resolve("TRBV7-2") == Resolver([]).resolve("x") == "UNMATCHED"
+    both = Resolver(["TRBV7-2", "TRAV7-2", "TRBC"], rules=BETA)
+    assert len(both.names) == 3 and both.resolve("vb7.2") == "TRBV7-2"
+
+
+def test_names_of_any_list(spark):
+    cities = ["Paris", "London", "New York", "Newcastle upon Tyne", "São Paulo", "San José", "San Juan", "York", "Springfield 3", "Springfield 4"]
+    resolver = Resolver(cities, {"New York": ["NYC", "Big Apple"], "London": ["Londres"]})
+    meant = {
+        "Paris": ["paris", " PARIS, France", "Pariss", "the city of Paris"],
+        "London": ["LONDON", "Londres", "Lodnon", "Londn"],
+        "New York": ["new-york", "NYC", "New York City", "the big apple", "New Yrok"],
+        "York": ["York", "york (UK)"],
+        "Newcastle upon Tyne": ["Newcastle-upon-Tyne", "Tyne Newcastle upon", "Newcastel upon Tyne"],
+        "São Paulo": ["sao paulo", "SÃO PAULO"],
+        "San José": ["San Jose", "Jose, San"],
+        "Springfield 3": ["springfield 3", "3 Springfeld"],
+        "UNMATCHED": ["", "San", "Paris or London", "Springfield", "Springfield 5", "Berlin", "upon", "Parisian", "New"],
+    }
+    assert {x: resolver.resolve(x) for xs in meant.values() for x in xs} == {x: c for c, xs in meant.items() for x in xs}
+    df = spark.createDataFrame([(x,) for xs in meant.values() for x in xs] + [(None,)], "v string")
+    got = {r.v: r.city for r in resolve_values(df, "v", cities, "city", {"New York": ["NYC", "Big Apple"], "London": ["Londres"]}).collect()}
+    assert got == {x: c for c, xs in meant.items() for x in xs} | {None: None}
+    twice = Resolver(["Main St", "Main Street"], {"Main St": ["High St"], "Main Street": ["High St"]})
+    assert twice.resolve("main street") == "Main Street" and twice.resolve("high st") == "UNMATCHED"
+    with pytest.raises(ValueError):
+        Resolver(["a"], {"b": ["c"]})
 
 
 # 6
