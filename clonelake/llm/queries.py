@@ -34,7 +34,7 @@ def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
-    return _sample(spark, sf).report.select(F.col("TRBV").alias("trbv"), "available", "quota", "min_rows", "taken", "short_target", "short_minimum")
+    return _sample(spark, sf).report.select(F.col("TRBV").alias("trbv"), "available", "quota", "min_rows", "taken", F.round("share", 9).alias("share"), "short_target", "short_minimum")
 
 
 def _frequencies(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +121,7 @@ _P1 = f"""
 WITH pool AS (SELECT DISTINCT TRBV AS t, {_CLEAN.format("CDR3b")} AS s FROM cdr3_sequences WHERE TRBV IN (SELECT TRBV FROM trbv_targets)),
 v AS (SELECT t, count(*) AS n FROM pool WHERE regexp_full_match(s, '[ACDEFGHIKLMNPQRSTVWY]+') GROUP BY t),
 z AS (SELECT coalesce(sum(n), 0)::BIGINT // 5 AS size FROM v),
-r AS (SELECT TRBV AS trbv, coalesce(n, 0) AS available, round(target_share * 1000)::BIGINT * size AS goal, min_rows::BIGINT AS min_rows
+r AS (SELECT TRBV AS trbv, coalesce(n, 0) AS available, round(target_share * 1000)::BIGINT * size AS goal, min_rows::BIGINT AS min_rows, target_share, size
       FROM trbv_targets LEFT JOIN v ON t = TRBV CROSS JOIN z)"""
 _P6 = f"""
 WITH v AS (SELECT DISTINCT {_CLEAN.format("CDR3b")} AS s FROM cdr3_sequences),
@@ -142,8 +142,17 @@ m AS (SELECT field, term, occurrences, records, CASE WHEN records < 3 THEN 'rare
 SQL = {
     "p1_found": _P1 + " SELECT trbv, 'target' AS short_of FROM r WHERE available * 1000 < goal UNION ALL SELECT trbv, 'minimum' FROM r WHERE available < min_rows",
     "p1_report": _P1
-    + """, q AS (SELECT *, least(available, greatest((goal + 500) // 1000, min_rows)) AS quota FROM r)
-SELECT trbv, available, quota, min_rows, quota AS taken, available * 1000 < goal AS short_target, available < min_rows AS short_minimum FROM q""",
+    + """, k AS (SELECT *, least(min_rows, available)::DOUBLE AS lo, available::DOUBLE AS hi, least(min_rows, available) / target_share AS a, available / target_share AS z FROM r),
+b AS (SELECT DISTINCT v FROM (SELECT 0.0::DOUBLE AS v UNION ALL SELECT a FROM k WHERE target_share > 0 UNION ALL SELECT z FROM k WHERE target_share > 0)),
+f AS (SELECT v, sum(CASE WHEN target_share > 0 THEN least(greatest(target_share * v, lo), hi) ELSE lo END) AS total, sum(CASE WHEN target_share > 0 AND a <= v AND z > v THEN target_share ELSE 0.0 END) AS slope FROM b, k GROUP BY v),
+t AS (SELECT max(size) AS size, sum(lo) AS los, sum(hi) AS his FROM k),
+h AS (SELECT v + CASE WHEN slope > 1e-15 THEN (size - total) / slope ELSE 0 END AS height FROM f, t WHERE total <= size ORDER BY v DESC LIMIT 1),
+q AS (SELECT k.*, CASE WHEN his <= t.size THEN hi WHEN los >= t.size THEN lo ELSE least(greatest(target_share * (SELECT height FROM h), lo), hi) END AS q FROM k, t),
+w AS (SELECT *, floor(q + 1e-9)::BIGINT AS base FROM q),
+o AS (SELECT *, CASE WHEN base < available THEN row_number() OVER (PARTITION BY base < available ORDER BY round(q - base, 9) DESC, trbv) END AS nth,
+  least(round(sum(q) OVER ()), greatest(size, sum(base) OVER ()))::BIGINT - (sum(base) OVER ())::BIGINT AS more FROM w),
+u AS (SELECT *, base + CASE WHEN nth <= more THEN 1 ELSE 0 END AS quota FROM o)
+SELECT trbv, available, quota, min_rows, quota AS taken, round(quota / sum(quota) OVER (), 9) AS share, available * 1000 < goal AS short_target, available < min_rows AS short_minimum FROM u""",
     "p6_found": _P6,
     "p2_found": _P2 + " SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_frequencies": _P2 + " SELECT * FROM m",

@@ -11,7 +11,7 @@ from clonelake.llm.components import connected_components
 from clonelake.llm.frequencies import dictionary, marked, term_frequencies
 from clonelake.llm.mixing import mix_sources
 from clonelake.llm.near import near_pairs
-from clonelake.llm.sampling import proportional_sample
+from clonelake.llm.sampling import feasible, proportional_sample, whole_quotas
 from clonelake.llm.sentences import Segmenter, split_sentences
 from clonelake.llm.vgenes import BETA
 
@@ -42,9 +42,43 @@ def test_sample(spark):
     assert {k: (r.short_target, r.short_minimum) for k, r in report.items()} == {"a": (False, False), "b": (30 < 0.4 * s, False), "c": (1 < 0.05 * s, True), "e": (True, False)}
     rows = [tuple(r) for r in got.rows.collect()]
     assert len(rows) == len(set(rows)) and set(rows) <= pool
-    assert Counter(k for k, _ in rows) == {k: r.quota for k, r in report.items() if r.quota}
-    again = proportional_sample(df.repartition(7), "k", "v", t, "share", "least", slice_bits=2)
+    assert Counter(k for k, _ in rows) == {k: r.quota for k, r in report.items() if r.quota} == {k: r.taken for k, r in report.items() if r.taken}
+    assert sum(r.quota for r in report.values()) == s and sum(r.share for r in report.values()) == pytest.approx(1)
+    again = proportional_sample(df.repartition(7), "k", "v", t, "share", "least", slack=50.0)
     assert {tuple(r) for r in again.rows.collect()} == set(rows)  # reservoirs merge alike however they are cut
+    plain = {r.k: r.quota for r in proportional_sample(df, "k", "v", t, "share", "least", refill=False).report.collect()}
+    assert plain == {"a": round(0.5 * s), "b": 30, "c": 1, "e": 0}
+
+
+def test_small_reservoirs_are_made_again(spark):
+    items = [("a", f"x{i}") for i in range(20_000)] + [("b", f"x{i}") for i in range(9_000)] + [("c", f"x{i}") for i in range(15)]
+    df = spark.createDataFrame(items, "k string, v string")
+    t = spark.createDataFrame([("a", 0.3, 0), ("b", 0.6, 0), ("c", 0.1, 20)], "k string, share double, least int")
+    want = {tuple(r) for r in proportional_sample(df, "k", "v", t, "share", "least").rows.collect()}
+    got = proportional_sample(df, "k", "v", t, "share", "least", slack=-9.0)  # too small on purpose
+    assert {tuple(r) for r in got.rows.collect()} == want and len(want) == 29_015 // 5
+    assert Counter(k for k, _ in want)["c"] == 15
+
+
+def test_quotas():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        n = rnd.integers(1, 8)
+        available, least = rnd.integers(0, 60, n), rnd.integers(0, 12, n)
+        share = rnd.random(n) * (rnd.random(n) > 0.2)
+        size = int(rnd.integers(0, 150))
+        real = feasible(available, share, least, size)
+        low = np.minimum(least, available)
+        assert (real >= low - 1e-9).all() and (real <= available + 1e-9).all()
+        whole = whole_quotas(real, available, size)
+        assert (np.abs(whole - real) < 1 + 1e-6).all() and (whole <= available).all() and (whole >= low).all()
+        grows = (share > 0) & (available > low)
+        if low.sum() < size and (available[grows].sum() + low[~grows].sum()) > size:
+            assert real.sum() == pytest.approx(size) and whole.sum() == size
+            inner = (real > low + 1e-6) & (real < available - 1e-6)
+            assert np.ptp(real[inner] / share[inner]) < 1e-6 if inner.any() else True
 
 
 def test_sample_of_nothing(spark):
