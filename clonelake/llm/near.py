@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clonelake.functions.text import RESIDUES
+from clonelake.functions.text import RESIDUES, is_sequence
+from clonelake.llm.components import connected_components
 from clonelake.session import cut, parallelism
 
 #: Residues per allowed edit.
@@ -40,6 +41,8 @@ HEAD, TAIL, K = 3, 4, 3
 KMERS = len(RESIDUES) ** K
 #: Sequences that a worker turns into signatures at once, and signatures that a task should get.
 CHUNK, SHARE = 40_000, 2_000_000
+#: Candidate pairs that a task verifies at once.
+CANDIDATES = 2_000_000
 
 _CODE = np.full(256, 255, dtype=np.uint8)
 _CODE[np.frombuffer(RESIDUES.encode(), dtype=np.uint8)] = np.arange(len(RESIDUES))
@@ -204,33 +207,41 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return last.get(lb, np.full(n, far))
 
 
-def _pairs_within(seqs: list[str], keys: list[np.ndarray], owners: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of verified pairs among ``seqs``, given signatures and whose they are."""
-    none = np.zeros(0, dtype=np.int64)
+def _pairs_within(seqs: list[str], keys: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of verified pairs among ``seqs``, given signatures and whose they are; CANDIDATES at a time, so pairs may come again.
+
+    Distinct sequences share a signature with g wildcards only if they differ in what those stand for, so that a run
+    has at most C(size, g) * 20**g of them, however many sequences there are.
+    """
     if not keys:
-        return none, none
+        return
     bits = max(1, int(len(seqs) - 1).bit_length())
     low = _U((1 << bits) - 1)
     packed = np.concatenate([(k & ~low) | o.astype(np.uint64) for k, o in zip(keys, owners, strict=True)])
     packed.sort()
     key, who = packed & ~low, (packed & low).astype(np.int64)
-    found = []
-    at = np.flatnonzero(key[1:] == key[:-1])
-    off = 1
-    while len(at):  # neighbours at growing distance within runs of one signature
-        found.append(np.unique(np.minimum(who[at], who[at + off]) << 32 | np.maximum(who[at], who[at + off])))
-        off += 1
-        at = at[at + off < len(key)]
-        at = at[key[at] == key[at + off]]
-    if not found:
-        return none, none
-    both = np.unique(np.concatenate(found))
-    i, j = both >> 32, both & (2**32 - 1)
-    sizes = np.fromiter(map(len, seqs), dtype=np.int64, count=len(seqs))
+    ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) if len(key) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(ends, prepend=-1)
+    behind = np.repeat(ends, sizes) - np.arange(len(key))  # rows of the same run behind each row
+    upto = np.cumsum(behind)
+    lengths = np.fromiter(map(len, seqs), dtype=np.int64, count=len(seqs))
+    own = np.array(seqs, dtype=object)
+    a = 0
+    while a < len(key):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CANDIDATES, side="right")))
+        n = behind[a:b]
+        left = np.repeat(np.arange(a, b), n)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        both = np.unique(np.minimum(who[left], who[right]) << 32 | np.maximum(who[left], who[right]))
+        if len(both):
+            yield _verified(own, lengths, both >> 32, both & (2**32 - 1))
+        a = b
+
+
+def _verified(own: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     i, j = np.where(sizes[i] <= sizes[j], i, j), np.where(sizes[i] <= sizes[j], j, i)
     ok = (i != j) & (sizes[j] - sizes[i] <= sizes[j] // PER_EDIT)
     i, j = i[ok], j[ok]
-    own = np.array(seqs, dtype=object)
     good = np.zeros(len(i), dtype=bool)
     shape = sizes[i] << 32 | sizes[j]
     for s in np.unique(shape):
@@ -311,11 +322,24 @@ def near_pairs(sequences: DataFrame, column: str) -> DataFrame:
                         mine = np.flatnonzero(deal.task(k, least) == t)
                         keys.append(k[mine])
                         owners.append(at[s : s + CHUNK][mine])
-            i, j = _pairs_within(seqs, keys, owners)
             own_ = np.array(seqs, dtype=object)
-            a, b = own_[i], own_[j]
-            first = np.array([x < y for x, y in zip(a, b, strict=True)], dtype=bool)
-            yield pa.record_batch([pa.array(np.where(first, a, b), pa.string()), pa.array(np.where(first, b, a), pa.string())], names=["a", "b"])
+            for i, j in _pairs_within(seqs, keys, owners):
+                a, b = own_[i], own_[j]
+                first = np.array([x < y for x, y in zip(a, b, strict=True)], dtype=bool)
+                yield pa.record_batch([pa.array(np.where(first, a, b), pa.string()), pa.array(np.where(first, b, a), pa.string())], names=["a", "b"])
 
     packs = own.mapInArrow(send, "task int, pack string").repartition(n_tasks, "task")
     return packs.mapInArrow(join, "a string, b string").distinct()
+
+
+def near_groups(sequences: DataFrame, column: str) -> DataFrame:
+    """member, grp, links: every distinct valid sequence with its class, the least sequence that links lead to, and its number of links.
+
+    Links are those of ``near_pairs``; a sequence without one is a class of its own.
+    """
+    pairs = cut(near_pairs(sequences, column))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("member")).groupBy("member").agg(F.count("*").alias("links"))
+    classes = connected_components(pairs, "a", "b")
+    own = sequences.select(F.col(f"`{column}`").alias("member")).filter(is_sequence(F.col("member"))).distinct()
+    out = own.join(classes, "member", "left").join(links, "member", "left")
+    return out.select("member", F.coalesce("grp", "member").alias("grp"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

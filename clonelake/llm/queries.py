@@ -11,7 +11,7 @@ from clonelake.llm.canonical import reference_names, resolve_values
 from clonelake.llm.components import connected_components
 from clonelake.llm.frequencies import marked, term_frequencies
 from clonelake.llm.mixing import Mix, mix_sources
-from clonelake.llm.near import near_pairs
+from clonelake.llm.near import near_groups, near_pairs
 from clonelake.llm.sampling import Sample, proportional_sample
 from clonelake.llm.sentences import split_sentences
 from clonelake.llm.vgenes import BETA
@@ -73,6 +73,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_pairs(clones, "s").select(F.col("a").alias("cdr3_a"), F.col("b").alias("cdr3_b"))
 
 
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    clones = table(spark, sf, "cdr3_sequences", "CDR3b").select(clean("CDR3b").alias("s"))
+    return near_groups(clones, "s").select(F.col("member").alias("cdr3b"), "grp", "links")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -109,6 +114,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_mix": p9_mix,
@@ -154,6 +160,14 @@ o AS (SELECT *, CASE WHEN base < available THEN row_number() OVER (PARTITION BY
 u AS (SELECT *, base + CASE WHEN nth <= more THEN 1 ELSE 0 END AS quota FROM o)
 SELECT trbv, available, quota, min_rows, quota AS taken, round(quota / sum(quota) OVER (), 9) AS share, available * 1000 < goal AS short_target, available < min_rows AS short_minimum FROM u""",
     "p6_found": _P6,
+    "p6_groups": f"""
+WITH RECURSIVE pr AS ({_P6}), v AS (SELECT DISTINCT {_CLEAN.format("CDR3b")} AS s FROM cdr3_sequences), u AS (SELECT s FROM v WHERE regexp_full_match(s, '[ACDEFGHIKLMNPQRSTVWY]+')),
+l AS (SELECT cdr3_a AS u, cdr3_b AS v FROM pr UNION ALL SELECT cdr3_b, cdr3_a FROM pr), n AS (SELECT u, count(*) AS links FROM l GROUP BY u),
+cc(member, grp) USING KEY (member) AS (
+  SELECT s, s FROM u
+  UNION
+  SELECT l.u, min(n.grp) FROM cc AS n JOIN l ON l.v = n.member JOIN recurring.cc AS o ON o.member = l.u WHERE n.grp < o.grp GROUP BY l.u)
+SELECT member AS cdr3b, grp, coalesce(links, 0) AS links FROM cc LEFT JOIN n ON n.u = member""",
     "p2_found": _P2 + " SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_frequencies": _P2 + " SELECT * FROM m",
     "p4_found": f"""

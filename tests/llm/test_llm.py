@@ -10,7 +10,7 @@ from clonelake.llm.canonical import Resolver, resolve_values
 from clonelake.llm.components import connected_components
 from clonelake.llm.frequencies import dictionary, marked, term_frequencies
 from clonelake.llm.mixing import mix_sources
-from clonelake.llm.near import near_pairs
+from clonelake.llm.near import near_groups, near_pairs
 from clonelake.llm.sampling import feasible, proportional_sample, whole_quotas
 from clonelake.llm.sentences import Segmenter, split_sentences
 from clonelake.llm.vgenes import BETA
@@ -261,6 +261,33 @@ def test_near_pairs_edges(spark):
     assert near_pairs(df.limit(0), "s").count() == 0
 
 
+def test_groups_of_near_sequences(spark):
+    own = ["CASSLAPGATNEQFF", "CASSLAPGATNEKFF", "CASSLAPGWTNEKFF", "CASSLAPGWWNEKFF", "CASSQQQQQQ", "CASSQQQQQW", "CAWWWWWWWWWWF", None, "bad", ""]
+    df = spark.createDataFrame([(x, 1) for x in own + own[:3]], "s string, grp int")
+    got = {r.member: (r.grp, r.links) for r in near_groups(df, "s").collect()}
+    valid = [x for x in own if x and x != "bad"]
+    near = {x: [y for y in valid if x != y and 7 * osa(x, y) <= max(len(x), len(y))] for x in valid}
+    groups = union_find([(x, y) for x in valid for y in [x, *near[x]]])
+    assert got == {x: (groups[x], len(near[x])) for x in valid}
+    assert near_groups(df.limit(0), "s").count() == 0
+
+
+def test_pairs_in_small_portions(monkeypatch):
+    import numpy as np
+
+    from clonelake.llm import near
+
+    rnd = random.Random(1)
+    base = "CASSLAPGATNEQFF"
+    own = sorted({edited(rnd, base, 2) for _ in range(60)})
+    keys, owners = [np.zeros(len(own), dtype=np.uint64)] * 2, [np.arange(len(own))] * 2
+    want = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if 7 * osa(own[i], own[j]) <= max(len(own[i]), len(own[j]))}
+    for n in (10**6, 100, 1):
+        monkeypatch.setattr(near, "CANDIDATES", n)
+        got = {tuple(sorted(x)) for i, j in near._pairs_within(own, keys, owners) for x in zip(i.tolist(), j.tolist(), strict=True)}
+        assert got == want
+
+
 def test_heavy_kmers_are_split(spark):
     import numpy as np
 
