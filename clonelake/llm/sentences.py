@@ -51,6 +51,8 @@ CLOSERS = "\"'”’»›」』)]}）】》〉"
 LOOKS = str.maketrans("аеорсхуАВЕКМНОРСТХіјгтопս015†|", "aeopcxyABEKMHOPCTXijrtonuols" + "tl")
 
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
+#: Words that a task counts before it sends their counts on.
+HELD = 500_000
 #: Stops; a point right before a digit, a small letter or the like is none.
 _STOP = re.compile(r"[!?…。！？｡．।॥؟۔][.!?…。！？｡．।॥؟۔]*|\.[.!?…。！？]+|\.(?![0-9a-z,;:/_*^=\-])")
 _HEAD = re.compile(r"[^\W_][\w'’-]*")
@@ -65,8 +67,8 @@ _ROUND = re.compile(r"[()（）]")
 _POINT = re.compile(r"\.\s+")
 #: A point after which a text may go on, within a paragraph; what heads an item does not show it.
 _GOES = re.compile(r"\.(?:(?:[^\S\n]+\n?|\n)[^\S\n]*(?=[^\W_A-Z])(?!\d+[.)、．])|\s?(?=[,;]))")
-_LAST = re.compile(r"(?<![^\W_])[^\W\d_]{1,8}$")
-_BARE = re.compile(r"[(\[\"'“„«‘]*([^\W\d_]{1,8})[,;:!?)\]\"'”“»’]*")
+_LAST = re.compile(r"(?<![^\W_])[^\W\d_]+$")
+_BARE = re.compile(r"[(\[\"'“„«‘]*([^\W\d_]{1,24})[,;:!?)\]\"'”“»’]*")
 
 
 def _cjk(c: str) -> bool:
@@ -141,7 +143,7 @@ class Segmenter:
         return word.lower() in self._known
 
     def _shown(self, text: str) -> set[str]:
-        """Words of two to eight letters, in lower case, that the document itself shows to be abbreviations.
+        """Words of two to 24 letters, in lower case, that the document itself shows to be abbreviations.
 
         They never stand without a point and go on after it: before a comma or semicolon, or before a small word or a
         number. As a sentence may begin with a stray small word or a number, the latter must be more than half of the
@@ -154,7 +156,7 @@ class Segmenter:
             self._low = ""
             for m in _GOES.finditer(text):
                 i, k = m.start(), m.end()
-                if not (w := _LAST.search(text, max(0, i - 8), i)) or len(w[0]) == 1 or w.start() and unicodedata.category(text[w.start() - 1])[0] == "M":
+                if not (w := _LAST.search(text, max(0, i - 25), i)) or not 1 < len(w[0]) < 25 or w.start() and unicodedata.category(text[w.start() - 1])[0] == "M":
                     continue
                 word, c = w[0].lower(), text[k]
                 if c in ",;":
@@ -281,7 +283,7 @@ class Segmenter:
         A name is a word with a capital that the document writes within sentences, too, and never without it.
         """
         word = ""
-        for _ in range(3):
+        while True:
             while k < b and text[k].isspace():
                 k += 1
             m = _HEAD.match(text, k, b)
@@ -291,7 +293,6 @@ class Segmenter:
             if not foreign and not name:
                 return word
             k += len(word)
-        return word
 
     @staticmethod
     def _small(word: str) -> bool:
@@ -476,13 +477,20 @@ def abbreviations(texts: DataFrame, text: str) -> DataFrame:
 
     A word is learned if nine of ten of its occurrences have a point and half of those (with three more counted against
     it, so that chance doesn't decide on rare words) go on in lower case, with a number or a comma. One that goes on somewhere is
-    ordinary if less than nine of ten have a point, or less than one in five of those goes on. Words of up to eight letters.
+    ordinary if less than nine of ten have a point, or less than one in five of those goes on. Words of up to 24 letters.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain: Counter[str] = Counter()
         on: Counter[str] = Counter()
         up: Counter[str] = Counter()
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            words = sorted(set(plain) | set(on) | set(up))
+            yield pa.record_batch([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in (plain, on, up)]], names=["word", "plain", "on", "up"])
+            for c in (plain, on, up):
+                c.clear()
+
         for batch in batches:
             raw: Counter[str] = Counter()
             for x in batch.column(0).to_pylist():
@@ -490,14 +498,15 @@ def abbreviations(texts: DataFrame, text: str) -> DataFrame:
                     raw.update(x.split())
                     pieces = _POINT.split(x)
                     for before, behind in zip(pieces, pieces[1:]):  # noqa: B905
-                        if behind and (m := _LAST.search(before[-9:])):
+                        if behind and (m := _LAST.search(before[-25:])) and len(m[0]) < 25:
                             c = behind[0]
                             (on if c.islower() or c.isdigit() or c in ",;" else up)[m[0].lower()] += 1
             for token, n in raw.items():
                 if not token.endswith(".") and (m := _BARE.fullmatch(token)):
                     plain[m[1].lower()] += n
-        words = sorted(set(plain) | set(on) | set(up))
-        yield pa.record_batch([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in (plain, on, up)]], names=["word", "plain", "on", "up"])
+            if len(plain) + len(on) + len(up) > HELD:
+                yield from flushed()
+        yield from flushed()
 
     counts = texts.select(text).mapInArrow(count, "word string, plain bigint, on bigint, up bigint")
     sums = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("plain", "on", "up")])
