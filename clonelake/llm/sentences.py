@@ -75,6 +75,16 @@ def _cjk(c: str) -> bool:
     return "⺀" <= c <= "鿿" or "豈" <= c <= "﫿" or "＀" <= c <= "￯" or "\U00020000" <= c <= "\U0003ffff"
 
 
+def _last_word(text: str, i: int) -> str:
+    """The word of up to 24 letters right before text[i]; empty if there is none."""
+    tail = text[max(0, i - 25) : i]
+    word = tail[tail.rfind(" ") + 1 :]  # most words stand behind a space
+    if not word.isalpha():
+        m = _LAST.search(tail)
+        word = m[0] if m else ""
+    return word if len(word) < 25 else ""
+
+
 def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """(opening, closing) places of quotations within text[a:b]; a mark without its mate is none."""
     out, at = [], a
@@ -156,9 +166,10 @@ class Segmenter:
             self._low = ""
             for m in _GOES.finditer(text):
                 i, k = m.start(), m.end()
-                if not (w := _LAST.search(text, max(0, i - 25), i)) or not 1 < len(w[0]) < 25 or w.start() and unicodedata.category(text[w.start() - 1])[0] == "M":
+                w = _last_word(text, i)
+                if len(w) < 2 or i > len(w) and text[i - len(w) - 1] != " " and unicodedata.category(text[i - len(w) - 1])[0] == "M":
                     continue
-                word, c = w[0].lower(), text[k]
+                word, c = w.lower(), text[k]
                 if c in ",;":
                     sure.add(word)
                 elif self._small(_HEAD.match(text, k)[0]):
@@ -498,9 +509,9 @@ def abbreviations(texts: DataFrame, text: str) -> DataFrame:
                     raw.update(x.split())
                     pieces = _POINT.split(x)
                     for before, behind in zip(pieces, pieces[1:]):  # noqa: B905
-                        if behind and (m := _LAST.search(before[-25:])) and len(m[0]) < 25:
+                        if behind and (word := _last_word(before, len(before))):
                             c = behind[0]
-                            (on if c.islower() or c.isdigit() or c in ",;" else up)[m[0].lower()] += 1
+                            (on if c.islower() or c.isdigit() or c in ",;" else up)[word.lower()] += 1
             for token, n in raw.items():
                 if not token.endswith(".") and (m := _BARE.fullmatch(token)):
                     plain[m[1].lower()] += n
