@@ -97,14 +97,13 @@ def ranks(x: np.ndarray, y: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (((a * x + b * y % PRIME + c) % PRIME) << 31) | ((d * x + e * y % PRIME + f) % PRIME)
 
 
-def draws(size: int, sims: range, salt: str, start: int = 0, stop: int | None = None) -> np.ndarray:
-    """Numbers in [0, 1), a row of ``size`` of them (or those from start to stop) for each simulation.
+def draws(sims: range, salt: str, start: int, stop: int) -> np.ndarray:
+    """Numbers in [0, 1), the ones from place ``start`` (0 is the first) to ``stop`` of each simulation's row.
 
-    They depend on size, simulation, place and salt only. Two rounds of raising to the fifth power, which permutes the
+    They depend on simulation, place and salt only. Two rounds of raising to the fifth power, which permutes the
     numbers below PRIME, begin at an md5 per row.
     """
-    base = md5_pairs(f"{size}:{s}:{salt}" for s in sims)
-    return draws_from(base, np.arange(start + 1, (size if stop is None else stop) + 1, dtype=np.int64))
+    return draws_from(md5_pairs(f"{s}:{salt}" for s in sims), np.arange(start + 1, stop + 1, dtype=np.int64))
 
 
 def md5_pairs(texts: Iterable[str]) -> np.ndarray:

@@ -556,11 +556,10 @@ def _fifth(x):
 
 
 def _draws(name, sizes, salt):
-    """size, sim, u: all draws for each size of a group."""
-    return f"""{name}b AS (SELECT size, sim, {_md5(f"size || ':' || sim || ':{salt}'", 0)} AS x, {_md5(f"size || ':' || sim || ':{salt}'", 1)} AS y FROM {sizes}, (SELECT unnest(range({SIMS})) AS sim)),
-{name}t AS (SELECT size, sim, y, (x + d * 1000003) % {PRIME} AS t FROM (SELECT *, unnest(range(1, size + 1)) AS d FROM {name}b)),
-{name}f AS (SELECT size, sim, ({_fifth("t")} + y) % {PRIME} AS t FROM {name}t),
-{name} AS (SELECT size, sim, {_fifth("t")} / {PRIME}::DOUBLE AS u FROM {name}f)"""
+    """size, sim, u: the first draws of each simulation, as many as the size of a group."""
+    return f"""{name}b AS (SELECT sim, {_md5(f"sim || ':{salt}'", 0)} AS x, {_md5(f"sim || ':{salt}'", 1)} AS y FROM (SELECT unnest(range({SIMS})) AS sim)),
+{name}t AS (SELECT sim, d, {_u("d")} AS u FROM {name}b, (SELECT unnest(range(1, (SELECT max(size) FROM {sizes}) + 1)) AS d)),
+{name} AS (SELECT size, sim, u FROM {sizes} JOIN {name}t ON d <= size)"""
 
 
 def _u(place):

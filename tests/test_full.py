@@ -33,12 +33,12 @@ def test_every_group_has_a_matrix(spark):
 
 
 def test_random_numbers_are_even():
-    u = draws(2000, range(100), "x")
+    u = draws(range(100), "x", 0, 2000)
     assert abs(u.mean() - 0.5) < 0.005 and abs(u.var() * 12 - 1) < 0.02
     cells = np.histogram(u, 50, (0, 1))[0]
     assert ((cells - 4000) ** 2 / 4000).sum() < 100
     assert 60 < (u < 0.05).sum(axis=1).var() < 140  # 95 if draws are independent
-    assert (draws(2000, range(100), "x", 500, 510) == u[:, 500:510]).all()
+    assert (draws(range(100), "x", 500, 510) == u[:, 500:510]).all()
     rng = np.random.default_rng(1)
     x, y = rng.integers(0, 2**31 - 1, (2, 2000))
     of = lines(range(200))
@@ -96,6 +96,17 @@ def test_scientific(spark):
     assert got[:7] == ["0.0e+00", "1.0e+00", "2.5e-01", "6.3e-02", "1.2e-03", "1.0e-06", "1.2e+05"] and got[8] == "1.0e-01"
 
 
+def test_large_groups_are_drawn_as_counts(monkeypatch):
+    bounds = np.array([0.5, 0.9, 1.0])
+    whole = {n: t.copy() for n, t in scoring._drawn([3, 40, 500], range(60), "s", bounds)}
+    monkeypatch.setattr(scoring, "DRAWS", 100)
+    again = {n: t.copy() for n, t in scoring._drawn([3, 40, 500], range(60), "s", bounds)}
+    for place, size in enumerate((3, 40, 500)):
+        assert (whole[place].sum(axis=1) == size).all() and (again[place].sum(axis=1) == size).all()
+        assert abs(again[place].mean(axis=0)[0] / size - 0.5) < 0.1
+    assert (whole[0] == again[0]).all() and (whole[1] == again[1]).all()  # steps change nothing
+
+
 def test_totals_hold_all_five_factors(spark):
     groups, rows = q._groups(spark, FOLDER), q._rows(spark, FOLDER)
     score = lambda df: {r.tag: r.score for r in df.collect()}
