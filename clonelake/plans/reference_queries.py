@@ -120,8 +120,8 @@ def subsample_both(spark, sf):
 
 
 def _resampled(spark, sf):
-    counts = resampling.reference_samples(_sample(spark, sf), _known(spark, sf).count(), SIMS)
-    return resampling.local_resampling(_known(spark, sf), counts, SIMS)
+    samples = resampling.reference_samples(_sample(spark, sf), _known(spark, sf).count(), SIMS)
+    return resampling.local_resampling(_known(spark, sf), samples)
 
 
 def local_rrs(spark, sf):
@@ -129,8 +129,8 @@ def local_rrs(spark, sf):
 
 
 def rrs_sample_log(spark, sf):
-    counts = resampling.reference_samples(_sample(spark, sf), _known(spark, sf).count(), LOGGED)
-    return resampling.sample_log(counts, motifs.find_motifs(_known(spark, sf), "mr"))
+    samples = resampling.reference_samples(_sample(spark, sf), _known(spark, sf).count(), LOGGED)
+    return resampling.sample_log(samples, motifs.find_motifs(_known(spark, sf), "mr"))
 
 
 def local_rrs_selected(spark, sf):

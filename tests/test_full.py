@@ -78,7 +78,7 @@ def test_motifs_of_samples(spark, monkeypatch):
     pool = spark.createDataFrame([(s, s) for s in seqs], "CDR3b string, mr string")
     for split in (500_000, 30):
         monkeypatch.setattr(resampling, "SPLIT", split)
-        counts = resampling.reference_samples(pool, 40, 130, lengths=(2, 3), dotted=True)
+        samples = resampling.reference_samples(pool, 40, 130, lengths=(2, 3), dotted=True)
         drawn = Counter()
         for r in resampling.subsample(pool, "CDR3b", 130, 40).collect():
             for k, dots in ((2, False), (3, False), (3, True), (4, True)):
@@ -86,8 +86,15 @@ def test_motifs_of_samples(spark, monkeypatch):
                     m = r.CDR3b[i : i + k]
                     for w in [m[:j] + "." + m[j + 1 :] for j in range(1, k - 1)] if dots else [m]:
                         drawn[r["sim"], w] += 1
-        log = {(r["sim"], r.motif): r.n for r in resampling.sample_log(counts, motifs.find_motifs(pool, "mr", (2, 3), dotted=True)).collect()}
+        log = {(r["sim"], r.motif): r.n for r in resampling.sample_log(samples, motifs.find_motifs(pool, "mr", (2, 3), dotted=True)).collect()}
         assert log == dict(drawn)
+        found = motifs.find_motifs(pool, "mr", (2, 3), dotted=True).withColumn("counts", F.expr("cast(n / 2 as bigint)"))
+        for listed in (10**6, 0):
+            monkeypatch.setattr(resampling, "LISTED", listed)
+            stats = {r.motif: (r.t, r.m, r.a) for r in samples.compared(found.select("motif", "counts")).groupBy("motif").agg(F.sum("total").alias("t"), F.max("top").alias("m"), F.sum("above").alias("a")).collect()}
+            for r in found.collect():
+                own = [drawn.get((s, r.motif), 0) for s in range(130)]
+                assert stats.get(r.motif, (0, 0, 0)) == (sum(own), max(own), sum(n >= r.counts for n in own) if r.counts else stats[r.motif][2])
 
 
 def test_scientific(spark):
