@@ -23,33 +23,97 @@ from clonelake.session import cut, parallelism
 PSEUDO = 0.005
 #: Sequences that a task draws at once.
 BLOCK = 10_000
-
-
-def _dense(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, aa, freq for all twenty residues of each place; unseen ones get PSEUDO, the others share the rest."""
-    shown = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("aa", "n"))).alias("seen"), F.sum("n").alias("total"))  # at most twenty entries
-    grid = shown.select(*keys, "total", "seen", F.explode(F.array(*[F.lit(a) for a in RESIDUES])).alias("aa"))
-    n = F.try_element_at("seen", F.col("aa"))
-    missing = F.lit(len(RESIDUES)) - F.size("seen")
-    return grid.select(*keys, "aa", F.when(n.isNull(), PSEUDO).otherwise(n / F.col("total") * (1 - missing * PSEUDO)).alias("freq"))
-
-
-def _letters(members: DataFrame, first: int | None) -> DataFrame:
-    places = F.filter(F.split("CDR3b", ""), lambda c: c != "")
-    rows = members.select("tag", "CDR3b", F.length("CDR3b").alias("len"), F.posexplode(places).alias("pos", "aa")).withColumn("pos", F.col("pos") + 1)
-    return rows if first is None else rows.filter(F.col("pos") <= first)
+#: Rows that a task counts at once, and rows of a group that go to one task.
+HELD, PART = 20_000, 1_000_000
+_CODES = np.zeros(256, dtype=np.int64)
+_CODES[np.frombuffer(RESIDUES.encode(), dtype=np.uint8)] = np.arange(len(RESIDUES))
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Shares of the residues (last axis) at each place: unseen ones get PSEUDO, the others share the rest."""
+    seen = counts > 0
+    missing = len(RESIDUES) - seen.sum(axis=-1, keepdims=True)
+    return np.where(seen, counts / np.maximum(counts.sum(axis=-1, keepdims=True), 1) * (1 - missing * PSEUDO), PSEUDO)
+
+
+def _counted(t: pa.Table, first: int | None) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Group indices (of the table's encoded tags), length (0 without ``first`` being None) and counts: groups, places, residues."""
+    tags = t.column("tag").to_numpy()
+    seqs = t.column("CDR3b").to_numpy(zero_copy_only=False)
+    lengths = np.fromiter(map(len, seqs), dtype=np.int64, count=len(seqs)) if first is None else np.zeros(len(seqs), dtype=np.int64)
+    for size in np.unique(lengths):
+        at = np.flatnonzero(lengths == size)
+        places = int(size) if first is None else first
+        letters = np.frombuffer("".join(x[:places] for x in seqs[at]).encode(), dtype=np.uint8).reshape(len(at), places)
+        groups, g = np.unique(tags[at], return_inverse=True)
+        cells = (g[:, None] * places + np.arange(places)) * len(RESIDUES) + _CODES[letters]
+        yield groups, int(size), np.bincount(cells.ravel(), minlength=len(groups) * places * len(RESIDUES)).reshape(len(groups), places, len(RESIDUES))
+
+
+def _matrices(members: DataFrame, first: int, by_length: bool) -> DataFrame:
+    """tag, len, pos, aa, freq: counts by place in tasks that hold whole groups; groups of more than PART rows are split and their counts added up."""
+    rows = members.filter(F.length("CDR3b") >= first).select("tag", "CDR3b")
+    large = cut(rows.groupBy("tag").agg(F.count("*").alias("n")).filter(F.col("n") > PART).select("tag", F.ceil(F.col("n") / PART).alias("parts")))  # at most rows / PART
+    split = large.count() > 0
+    if split:
+        rows = rows.join(F.broadcast(large), "tag", "left").select("tag", "CDR3b", F.coalesce(F.pmod(F.xxhash64("CDR3b"), "parts"), F.lit(-1)).alias("part"))
+    else:
+        rows = rows.withColumn("part", F.lit(-1).cast("bigint"))
+
+    def flush(held: list[pa.Table], last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
+        t = pa.concat_tables(held).combine_chunks()
+        tags = t.column("tag").combine_chunks().dictionary_encode()
+        codes = tags.indices.to_numpy()
+        part = t.column("part").to_numpy()
+        ends = np.flatnonzero(np.append((codes[1:] != codes[:-1]) | (part[1:] != part[:-1]), True))
+        n = t.num_rows if last else (int(ends[-2]) + 1 if len(ends) > 1 else 0)  # the last group may go on
+        whole = pa.table({"tag": codes[:n], "CDR3b": t.column("CDR3b").slice(0, n)})
+        salted = np.zeros(len(tags.dictionary), dtype=bool)
+        salted[codes[:n]] = part[:n] >= 0
+        for groups, size, counts in _counted(whole, None if by_length else first):
+            g, places, k = counts.shape
+            names = tags.dictionary.take(pa.array(np.repeat(groups, places)))
+            offsets = pa.array(np.arange(0, counts.size + 1, k, dtype=np.int32))
+            yield pa.record_batch(
+                [
+                    names.cast(pa.string()), pa.array(np.full(g * places, size, dtype=np.int32)), pa.array(np.tile(np.arange(1, places + 1, dtype=np.int32), g)), pa.array(np.repeat(salted[groups], places)),
+                    pa.ListArray.from_arrays(offsets, pa.array(counts.ravel().astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(_shares(counts).ravel())),
+                ],
+                names=["tag", "len", "pos", "salted", "n", "f"],
+            )
+        yield t.slice(n)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh = [], 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            fresh += batch.num_rows
+            if fresh >= HELD:
+                *out, rest = flush(held, False)
+                yield from out
+                held, fresh = [rest], 0
+        if held and sum(x.num_rows for x in held):
+            yield from list(flush(held, True))[:-1]
+
+    counted = rows.repartition("tag", "part").sortWithinPartitions("tag", "part").mapInArrow(count, "tag string, len int, pos int, salted boolean, n array<bigint>, f array<double>")
+    shares = counted.filter("not salted").select("tag", "len", "pos", "f") if split else counted.select("tag", "len", "pos", "f")
+    if split:
+        sums = counted.filter("salted").groupBy("tag", "len", "pos").agg(F.array(*[F.sum(F.col("n")[i]) for i in range(len(RESIDUES))]).alias("n"))
+        total, seen = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, v: a + v), F.size(F.filter("n", lambda v: v > 0))
+        f = F.transform("n", lambda v: F.when(v > 0, v / total * (1 - (len(RESIDUES) - seen) * PSEUDO)).otherwise(PSEUDO))
+        shares = shares.unionByName(sums.select("tag", "len", "pos", f.alias("f")))
+    letters = F.array(*[F.lit(a) for a in RESIDUES])
+    return shares.select("tag", "len", "pos", F.posexplode("f").alias("at", "freq")).select("tag", "len", "pos", letters[F.col("at")].alias("aa"), "freq")
 
 
 def scoring_matrix(members: DataFrame, first: int = 10) -> DataFrame:
     """tag, pos, aa, freq: of the first places of each group's sequences, which must be that long."""
-    rows = _letters(members.filter(F.length("CDR3b") >= first), first)
-    return _dense(rows.groupBy("tag", "pos", "aa").agg(F.count("*").alias("n")), ["tag", "pos"])
+    return _matrices(members, first, False).drop("len")
 
 
 def prediction_matrix(members: DataFrame, first: int = 10) -> DataFrame:
     """tag, len, pos, aa, freq: all places, for each length in a group."""
-    rows = _letters(members.filter(F.length("CDR3b") >= first), None)
-    return _dense(rows.groupBy("tag", "len", "pos", "aa").agg(F.count("*").alias("n")), ["tag", "len", "pos"])
+    return _matrices(members, first, True)
 
 
 def length_distribution(members: DataFrame, first: int = 10) -> DataFrame:

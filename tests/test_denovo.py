@@ -44,6 +44,25 @@ def test_draws_and_ranks(spark):
     assert norms == sorted(norms)
 
 
+def test_matrices_of_split_groups(spark, monkeypatch):
+    rows = [(f"t{i % 7}", "C" + "ACDEFGHIKL"[i % 10] * (9 + i % 3) + "QF") for i in range(300)]
+    df = spark.createDataFrame(rows, "tag string, CDR3b string")
+    for part, held in ((1_000_000, 20_000), (10, 7), (40, 50)):
+        monkeypatch.setattr(denovo, "PART", part)
+        monkeypatch.setattr(denovo, "HELD", held)
+        got = {(r.tag, r.pos, r.aa): r.freq for r in denovo.scoring_matrix(df).collect()}
+        by_length = {(r.tag, r.len, r.pos, r.aa): r.freq for r in denovo.prediction_matrix(df).collect()}
+        for t in range(7):
+            own = [s for g, s in rows if g == f"t{t}"]
+            for k in range(10):
+                for a, f in shares(own, k).items():
+                    assert math.isclose(got[f"t{t}", k + 1, a], f)
+            for n in {len(s) for s in own}:
+                for a, f in shares([s for s in own if len(s) == n], n - 3).items():
+                    assert math.isclose(by_length[f"t{t}", n, n - 2, a], f)
+        assert len(got) == 7 * 200
+
+
 def test_refusals(spark):
     own = spark.createDataFrame([("t", "CAF"), ("u", MEMBERS[0]), ("u", "CASSF")], "tag string, CDR3b string")
     for bad in ({"tag": "x"}, {"tag": "t"}, {"tag": "u", "sims": 0}, {"tag": "u", "num_tops": "a"}, {"tag": "u", "normalization": 1}, {"tag": "u", "normalization": True}, {"tag": 3}):
