@@ -78,6 +78,7 @@ def test_motifs_of_samples(spark, monkeypatch):
     pool = spark.createDataFrame([(s, s) for s in seqs], "CDR3b string, mr string")
     for split in (500_000, 30):
         monkeypatch.setattr(resampling, "SPLIT", split)
+        monkeypatch.setattr(resampling, "PART", split)
         samples = resampling.reference_samples(pool, 40, 130, lengths=(2, 3), dotted=True)
         drawn = Counter()
         for r in resampling.subsample(pool, "CDR3b", 130, 40).collect():
