@@ -125,6 +125,8 @@ def test_germline(spark):
     assert (row.start_1, row.stop_1, row.start_2, row.stop_2, row.masked) == (5, 5, 8, 8, "CASSaGGtEQYF")
     none = germline.germline_ranges(seqs(spark, ["QQQ"]), f("CAS"), f("GG"), f("EQYF")).first()
     assert (none.start_1, none.stop_1, none.start_2, none.stop_2, none.masked) == (1, 3, 0, -1, "qqq")
+    with pytest.raises(ValueError):
+        germline.germline_ranges(seqs(spark, ["QQQ"]), f("CAS"), spark.range(germline.MOST + 1).selectExpr("cast(id as string) AS fragment"), f("EQYF"))
 
 
 def test_hla(spark):
