@@ -261,11 +261,11 @@ def run_gliph1(spark, sf):
     return out.tables["cluster_properties"].select("tag", "cluster_size", "members")
 
 
-def _groups(spark, sf):
+def _groups(spark, sf, rows=None):
     """tag and member rows of the groups that clone_network names."""
     net = table(spark, sf, "clone_network", "V1", "V2", "cluster_tag").filter("cluster_tag is not null")
     named = net.select(F.col("cluster_tag").alias("tag"), F.explode(F.array(clean("V1"), clean("V2"))).alias("CDR3b")).filter("CDR3b is not null").distinct()
-    return named.join(_rows(spark, sf), "CDR3b")
+    return named.join(_rows(spark, sf) if rows is None else rows, "CDR3b")
 
 
 def _fragments(spark, sf):
@@ -335,7 +335,8 @@ def hla_listing(spark, sf):
 
 
 def _totals(spark, sf, version):
-    groups, rows = cut(_groups(spark, sf)), _rows(spark, sf)
+    rows = cut(_rows(spark, sf))
+    groups = cut(_groups(spark, sf, rows))
     parts = {
         "cdr3_length": scoring.length_score(groups, _length_freqs(spark, sf), SIMS, version),
         "network_size": scoring.size_score(groups, _size_table(spark), rows.count()),
